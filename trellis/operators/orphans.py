@@ -23,7 +23,7 @@ SALT = 16
 
 def strip_ws(c: Column) -> Column:
     """Trim every outer white-space character, Unicode ones included."""
-    return F.regexp_replace(c, r"(?U)^[\s​﻿]+|[\s​﻿]+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x{200B}\x{FEFF}]+|[\s\x{200B}\x{FEFF}]+$", "")
 
 
 def bare_target(dst: Column, relation: Column) -> Column:
