@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, fuzzy, history, neighbours
+from trellis.llm import bpe, funcdoc, fuzzy, history, leak, markup, neighbours, residue
 from trellis.session import table
 
 
@@ -35,11 +35,52 @@ def p4_found(spark, d):
     return best.select(F.least("node_id", "other").alias("node_a"), F.greatest("node_id", "other").alias("node_b")).distinct()
 
 
+def _vault(spark, d):
+    return markup.vault_rows(table(spark, d, "files"), table(spark, d, "tree_nodes"))
+
+
+def p6_found(spark, d):
+    got = markup.clean_documents(_vault(spark, d))
+    return got.select("rec_table", "rec_seq", F.explode("markups").alias("markup")).distinct()
+
+
+def p6_clean(spark, d):
+    return markup.clean_documents(_vault(spark, d)).select("rec_table", "rec_seq", "clean").distinct()
+
+
+def _pairs(spark, d):
+    return funcdoc.function_docs(table(spark, d, "tree_nodes"), table(spark, d, "nodes").select("id", "kind", "seq"))
+
+
+def p7_found(spark, d):
+    return _pairs(spark, d).select("node_seq")
+
+
+def p7_pairs(spark, d):
+    return _pairs(spark, d)
+
+
 def p8_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids}
+def p9_found(spark, d):
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "qa")).select("doc_id", "qa_id")
+
+
+def p9_passages(spark, d):
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "qa"))
+
+
+def p10_found(spark, d):
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_reasons(spark, d):
+    return residue.residue(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_reasons": p10_reasons}
 
 _GRAMS = r"""
 rec AS (
