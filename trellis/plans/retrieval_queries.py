@@ -329,10 +329,10 @@ SELECT src, count(*) AS lost, array_to_string(list_sort(list_distinct(list(list_
 o1 AS (SELECT edge_id, scan, max(confidence) AS confidence, 'm' || CAST(scan // 10 AS VARCHAR) AS model_id FROM o GROUP BY edge_id, scan),
 s AS (SELECT *, CASE WHEN lag(scan) OVER w IS NULL OR lag(model_id) OVER w <> model_id THEN 1 ELSE 0 END AS nm, CASE WHEN lag(scan) OVER w IS NULL OR lag(model_id) OVER w <> model_id OR lag(scan) OVER w + 1 <> scan THEN 1 ELSE 0 END AS br FROM o1 WINDOW w AS (PARTITION BY edge_id ORDER BY scan)),
 r AS (SELECT *, sum(nm) OVER w AS epoch, sum(br) OVER w AS island FROM s WINDOW w AS (PARTITION BY edge_id ORDER BY scan)),
-l AS (SELECT edge_id, max(epoch) AS e, max(island) AS i, min(scan) AS first_scan, max(scan) AS last_scan, arg_max(model_id, scan) AS model_id FROM r GROUP BY edge_id)
-SELECT l.edge_id, l.model_id, arg_min(CASE WHEN epoch = e THEN confidence END, CASE WHEN epoch = e THEN scan END) AS confidence, first_scan, last_scan,
-  CAST(CASE WHEN last_scan = (SELECT max(scan) FROM o) THEN count(CASE WHEN island = i THEN 1 END) ELSE 0 END AS INTEGER) AS consecutive_seen
-FROM r JOIN l ON r.edge_id = l.edge_id GROUP BY ALL""",
+l AS (SELECT edge_id, max(epoch) AS e, max(island) AS i, min(scan) AS first_scan, max(scan) AS last_scan, arg_max(model_id, scan) AS model_id FROM r GROUP BY edge_id),
+g AS (SELECT l.edge_id, any_value(l.model_id) AS model_id, arg_min(CASE WHEN epoch = e THEN confidence END, CASE WHEN epoch = e THEN scan END) AS confidence,
+  any_value(first_scan) AS first_scan, any_value(last_scan) AS last_scan, count(CASE WHEN island = i THEN 1 END) AS run FROM r JOIN l ON r.edge_id = l.edge_id GROUP BY l.edge_id)
+SELECT edge_id, model_id, confidence, first_scan, last_scan, CAST(CASE WHEN last_scan = (SELECT max(scan) FROM o) THEN run ELSE 0 END AS INTEGER) AS consecutive_seen FROM g""",
     "tier2_candidates": f"WITH {_ROUTE} SELECT edge_id, rank, candidate FROM cd",
     "edge_routes": f"WITH {_ROUTE} SELECT * FROM ro",
     "route_report": f"WITH {_ROUTE} SELECT action, count(*) AS n FROM ro GROUP BY action",
@@ -341,10 +341,10 @@ FROM r JOIN l ON r.edge_id = l.edge_id GROUP BY ALL""",
     "split_sentence": _enumerate(_SENT),
     "split_paragraph": _enumerate(r"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"),
     "split_window": _enumerate("list_filter(list_transform(range(0, length(text), 160), lambda p: trim(substr(text, p + 1, 200))), lambda s: s <> '')"),
-    "splitter_scores": rf"""WITH {CHUNK}, at AS (SELECT chunk_id AS id, text AS source, unnest({_SENT}) AS atom FROM ch),
+    "splitter_scores": rf"""WITH {CHUNK}, am AS (SELECT chunk_id AS id, text AS source, unnest({_SENT}) AS atom FROM ch),
 m AS (SELECT id, source, atom, greatest(0.0, 1.0 - 0.3 * (len(list_filter(regexp_split_to_array(atom, '[.?!。？！][ \t\r\n]'), lambda s: trim(s) <> '')) - 1) - greatest(0.0, (len(list_filter(regexp_split_to_array(trim(atom), '\s+'), lambda w: w <> '')) - 50) / 100.0)) AS a,
   CASE WHEN regexp_matches(trim(atom), '(?i)^(it|this|that|these|those|they|he|she|its|their)([^\p{{L}}\p{{N}}_]|$)') THEN 0.0 ELSE 1.0 END AS s,
-  CASE WHEN len({words("source")}) = 0 THEN 0.0 WHEN len({words("atom")}) = 0 THEN 1.0 ELSE len(list_intersect({words("atom")}, {words("source")})) / len({words("atom")}) END AS f, length(trim(atom)) AS n FROM at),
+  CASE WHEN len({words("source")}) = 0 THEN 0.0 WHEN len({words("atom")}) = 0 THEN 1.0 ELSE len(list_intersect({words("atom")}, {words("source")})) / len({words("atom")}) END AS f, length(trim(atom)) AS n FROM am),
 g AS (SELECT id, count(*) AS atoms, avg(a) AS a, avg(s) AS s, avg(f) AS f, CASE WHEN max(length(trim(source))) = 0 THEN 0.0 ELSE least(1.0, sum(n) / max(length(trim(source)))) END AS c FROM m GROUP BY id)
 SELECT id, atoms, round(a, 6) AS atomicity, round(s, 6) AS self_contained, round(f, 6) AS faithfulness, round(c, 6) AS coverage, round((a + s + f + c) / 4, 6) AS overall FROM g""",
     "l1_windows": f"""WITH {CHUNK}, r AS (SELECT *, (row_number() OVER (PARTITION BY source_idx ORDER BY idx, chunk_id) - 1) // 3 AS g FROM ch)
