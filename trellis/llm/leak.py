@@ -54,7 +54,7 @@ def _hash_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(memo) < 500_000:
                         memo[w] = h
                 ids.append(h)
-            out.append(ids)
+            out.append(np.array(ids, np.int64))
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": out})
 
 
@@ -148,8 +148,9 @@ def _sum_matrix(tokens: DataFrame, space: Space, right: np.ndarray) -> np.ndarra
         got = s.gram_times((np.asarray(w, np.int64) for pdf in batches for w in pdf["words"]), r)
         yield pd.DataFrame({"i": np.arange(len(got)), "row": list(got)})
 
-    parts = tokens.select("words").mapInPandas(run, "i bigint, row array<double>")
-    # the sum of each row's arrays, place by place; a map-side partial sum leaves one row a partition
+    # there is a partial matrix per partition, so partitions are as many as the cluster's cores ask for, not the data
+    spread = 4 * tokens.sparkSession.sparkContext.defaultParallelism
+    parts = tokens.select("words").coalesce(spread).mapInPandas(run, "i bigint, row array<double>")
     each = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
     out = np.zeros((len(right) + 1, right.shape[1]))
     for r in each.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("row")).collect():
