@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     (a single-machine session, as in tests) a folder of our own is set.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not named:
         named = "file://" + os.path.join(tempfile.gettempdir(), f"trellis-{os.getpid()}")
     if not sc.getCheckpointDir():
