@@ -110,7 +110,7 @@ def keyword_hits(qa: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("qa_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= top_k)
     j = r.join(chunks.select("chunk_id", "text"), "chunk_id").join(q, "qa_id")
     empty = F.lit("")
-    return j.select(F.col("qa_id").alias("query_id"), "rank", F.col("text").alias("chunk"), F.coalesce("answer", empty).alias("answer"), F.coalesce("source_text", empty).alias("source"))
+    return j.select(F.col("qa_id").alias("query_id"), "rank", "chunk_id", F.col("text").alias("chunk"), F.coalesce("answer", empty).alias("answer"), F.coalesce("source_text", empty).alias("source"))
 
 
 def heading_level(line: Column) -> Column:

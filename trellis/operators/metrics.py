@@ -75,3 +75,53 @@ def boundary_clarity(vectors: DataFrame, by: str, order: str, column: str = "vec
     w = Window.partitionBy(by).orderBy(order)
     pairs = vectors.withColumn("before", F.lag(column).over(w)).withColumn("c", F.when(F.col("before").isNotNull(), vec.cosine(F.col("before"), F.col(column))))
     return pairs.groupBy(by).agg(F.count("*").alias("n"), F.round(1.0 - F.coalesce(F.avg("c"), F.lit(0.0)), 6).alias("clarity"))
+
+
+def splitter_table(atoms_by_name: dict[str, DataFrame], docs: DataFrame, id_col: str, body: str) -> DataFrame:
+    """Means of the scores per splitter over all documents that it splits: (splitter, documents, atomicity, ..., overall)."""
+    out = None
+    for name, atoms in sorted(atoms_by_name.items()):
+        s = splitter_scores(atoms, docs, id_col, body)
+        row = s.agg(F.count("*").alias("documents"), *[F.round(F.avg(c), 4).alias(c) for c in ("atomicity", "self_contained", "faithfulness", "coverage", "overall")]).select(F.lit(name).alias("splitter"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def weighted_overall(atomicity: Column, contained: Column, faithful: Column, coverage: Column, gold: Column | None = None) -> Column:
+    """Overall score: with a gold alignment .20/.15/.20/.15/.30, else a quarter each."""
+    if gold is None:
+        return F.round((atomicity + contained + faithful + coverage) / 4, 4)
+    return F.round(0.20 * atomicity + 0.15 * contained + 0.20 * faithful + 0.15 * coverage + 0.30 * gold, 4)
+
+
+def retrieval_iou(hits: DataFrame, chunks: DataFrame, id_col: str, body: str, relevant: float = 0.3) -> DataFrame:
+    """Per query the share of retrieved and relevant chunks among all retrieved or relevant ones: (query_id, iou).
+
+    ``hits`` has (query_id, chunk_id, source). A chunk is relevant if it covers ``relevant``
+    of the source's words; such chunks are found by an equality join on the words, not by
+    comparing every chunk with every source.
+    """
+    src = hits.select("query_id", "source").distinct()
+    sw = src.select("query_id", text.word_set(F.col("source")).alias("s")).select("query_id", F.size("s").alias("n"), F.explode("s").alias("w"))
+    cw = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(text.word_set(F.col(body))).alias("w"))
+    rel = cw.join(sw, "w").groupBy("query_id", "chunk_id").agg((F.count("*") / F.first("n")).alias("share")).filter(F.col("share") >= relevant).select("query_id", "chunk_id")
+    got = hits.select("query_id", "chunk_id").distinct()
+    union = got.union(rel).distinct().groupBy("query_id").agg(F.count("*").alias("u"))
+    both = got.join(rel, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("b"))
+    return union.join(both, "query_id", "left").select("query_id", F.round(F.coalesce("b", F.lit(0)) / F.col("u"), 6).alias("iou"))
+
+
+def multi_hop(chunks: DataFrame, cases: DataFrame, answer: float = 0.4, relevant: float = 0.3, gold: float = 0.25) -> DataFrame:
+    """Multi-hop scores per case: (case_id, answered, recall, mrr).
+
+    ``chunks`` has (case_id, rank, chunk), ``cases`` (case_id, answer, paragraphs), the gold
+    paragraphs. Answered: all chunks together cover the answer; recall: every gold paragraph is
+    covered by some chunk; mrr: from the first chunk that covers any.
+    """
+    all_ = chunks.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), " ").alias("all"))
+    answered = all_.join(cases, "case_id").select("case_id", (text.overlap(F.col("all"), F.col("answer")) >= answer).alias("answered"))
+    pairs = chunks.join(cases.select("case_id", F.posexplode("paragraphs").alias("p", "paragraph")), "case_id").withColumn("o", text.overlap(F.col("chunk"), F.col("paragraph")))
+    per = pairs.groupBy("case_id", "p").agg(F.max("o").alias("best"))
+    recall = per.groupBy("case_id").agg(F.min((F.col("best") >= gold).cast("int")).cast("double").alias("recall"))
+    first = pairs.filter(F.col("o") >= relevant).groupBy("case_id").agg((1.0 / F.min("rank")).alias("mrr"))
+    return answered.join(recall, "case_id").join(first, "case_id", "left").select("case_id", "answered", "recall", F.coalesce("mrr", F.lit(0.0)).alias("mrr"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trellis.functions import text
-from trellis.operators import graph, levels, link, metrics, probe, records, retrieve, split
+from trellis.operators import entities, graph, levels, link, metrics, probe, records, retrieve, split, validate
 from trellis.plans.sqlparts import CHUNK, GRAPH, VE, VN, VV, overlap, words
 from trellis.session import cut, table
 
@@ -188,6 +188,38 @@ def retrieval_scores(spark, d):
     return metrics.retrieval_scores(_evaluation(spark, d), 5)
 
 
+def retrieval_iou(spark, d):
+    c = cut(_chunks(spark, d))
+    return metrics.retrieval_iou(levels.keyword_hits(table(spark, d, "qa"), c, 5), c, "chunk_id", "text")
+
+
+def splitter_table(spark, d):
+    c = cut(_chunks(spark, d))
+    return metrics.splitter_table({n: split.atoms(c, "chunk_id", "text", n) for n in ("paragraph", "sentence")}, c, "chunk_id", "text")
+
+
+def quarantined_edges(spark, d):
+    return validate.check_edges(_edges(spark, d))[1].select("src", "dst", "tier", "score", "problem")
+
+
+def stale_mentions(spark, d):
+    changed = _nodes(spark, d, "kind", "maturity").filter("kind = 'function' AND maturity = 'growing'").select("id")
+    return validate.mark_stale(_edges(spark, d), changed, "2026-01-01").select("src", "symbol", "code_node")
+
+
+def query_entities(spark, d):
+    q = table(spark, d, "qa").filter("question IS NOT NULL").select("qa_id", "question").distinct()
+    return q.select("qa_id", F.explode(entities.names_in(F.col("question"))).alias("entity"))
+
+
+def walk_retrieval(spark, d):
+    """Chunks by walks from the names in the first question."""
+    q = table(spark, d, "qa").filter("question IS NOT NULL").select("qa_id", entities.names_in(F.col("question")).alias("e")).orderBy("qa_id").limit(1).collect()
+    atoms = _chunks(spark, d).select(F.col("chunk_id").alias("id"), entities.names_in(F.col("text")).alias("entities"))
+    names = atoms.select(F.explode("entities").alias("e")).filter(F.length("e") > 6).groupBy("e").count().orderBy(F.desc("count"), "e").limit(2).collect()
+    return entities.walk_retrieve(entities.atom_entity_graph(atoms), [*(q[0]["e"] if q else []), *[r["e"] for r in names]], rounds=8)
+
+
 def boundary_clarity(spark, d):
     v = _vectors(spark, d).join(_nodes(spark, d, "namespace"), "id")
     return metrics.boundary_clarity(v, "namespace", "id")
@@ -247,7 +279,7 @@ QUERIES = {
     for f in (
         bm25_search, vector_search, knn_topk, exact_search, hybrid_search, search_knowledge, entry_resolution, entry_per_namespace, search_files, wikilinks, name_index, wikilink_edges, typed_relations, inline_tags,
         tag_cooccurrence, shared_tag_bridges, symbol_links, drift_check, drift_flags, similarity_edges, embedding_bridges, probe_fold, tier2_candidates, edge_routes, route_report, inbox_top, new_cross_edges,
-        splitter_scores, l1_windows, retrieval_scores, boundary_clarity, gold_alignment, char_budget, embed_status, cache_gc, incremental_diff, deleted_sources, know_ids, dedup_recent, dedup_actions, contains_edges, sections,
+        splitter_scores, l1_windows, retrieval_scores, retrieval_iou, splitter_table, quarantined_edges, stale_mentions, query_entities, walk_retrieval, boundary_clarity, gold_alignment, char_budget, embed_status, cache_gc, incremental_diff, deleted_sources, know_ids, dedup_recent, dedup_actions, contains_edges, sections,
     )
 } | {"split_sentence": _atoms("sentence"), "split_paragraph": _atoms("paragraph"), "split_window": _atoms("fixed_window", size=200, overlap=40)}
 
@@ -347,6 +379,25 @@ m AS (SELECT id, source, atom, greatest(0.0, 1.0 - 0.3 * (len(list_filter(regexp
   CASE WHEN len({words("source")}) = 0 THEN 0.0 WHEN len({words("atom")}) = 0 THEN 1.0 ELSE len(list_intersect({words("atom")}, {words("source")})) / len({words("atom")}) END AS f, length(trim(atom)) AS n FROM am),
 g AS (SELECT id, count(*) AS atoms, avg(a) AS a, avg(s) AS s, avg(f) AS f, CASE WHEN max(length(trim(source))) = 0 THEN 0.0 ELSE least(1.0, sum(n) / max(length(trim(source)))) END AS c FROM m GROUP BY id)
 SELECT id, atoms, round(a, 6) AS atomicity, round(s, 6) AS self_contained, round(f, 6) AS faithfulness, round(c, 6) AS coverage, round((a + s + f + c) / 4, 6) AS overall FROM g""",
+    "retrieval_iou": f"""WITH {CHUNK}, q AS (SELECT DISTINCT qa_id, question, coalesce(source_text, '') AS source FROM qa WHERE question IS NOT NULL),
+qw AS (SELECT qa_id, unnest({words("question")}) AS w FROM q), cw AS (SELECT chunk_id, unnest({words("text")}) AS w FROM ch), fr AS (SELECT w, 1.0 / count(*) AS weight FROM cw GROUP BY w),
+s AS (SELECT qa_id, chunk_id, round(sum(weight), 9) AS score FROM qw JOIN cw USING (w) JOIN fr USING (w) GROUP BY ALL),
+h AS (SELECT qa_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY score DESC, chunk_id) <= 5),
+sw AS (SELECT qa_id, unnest({words("source")}) AS w FROM q), sn AS (SELECT qa_id, count(*) AS n FROM sw GROUP BY 1),
+r AS (SELECT qa_id, chunk_id FROM (SELECT sw.qa_id, chunk_id, count(*) AS k FROM sw JOIN cw USING (w) GROUP BY ALL) JOIN sn USING (qa_id) WHERE k / n >= 0.3),
+u AS (SELECT qa_id, count(*) AS u FROM (SELECT * FROM h UNION SELECT * FROM r) GROUP BY 1), b AS (SELECT qa_id, count(*) AS b FROM (SELECT * FROM h INTERSECT SELECT * FROM r) GROUP BY 1)
+SELECT u.qa_id AS query_id, round(coalesce(b, 0) / u, 6) AS iou FROM u LEFT JOIN b ON u.qa_id = b.qa_id""",
+    "gold_alignment": f"""WITH q AS (SELECT DISTINCT qa_id, answer, source_text AS text FROM qa WHERE answer IS NOT NULL AND source_text IS NOT NULL), a AS (SELECT qa_id, answer, unnest({_SENT}) AS atom FROM q),
+m AS (SELECT qa_id, CASE WHEN len({words("atom")}) + len({words("answer")}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({words("atom")}, {words("answer")})) / (len({words("atom")}) + len({words("answer")})) END AS f FROM a),
+g AS (SELECT qa_id, avg(f) AS p, max(f) AS r FROM m GROUP BY qa_id)
+SELECT qa_id AS case_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM g""",
+    "quarantined_edges": rf"""WITH {VE}, p AS (SELECT src, dst, tier, score, CASE WHEN NOT coalesce(tier IN ('EXTRACTED', 'INFERRED', 'AMBIGUOUS'), false) THEN 'tier'
+  WHEN tier = 'EXTRACTED' AND (starts_with(src, 'conv::') OR starts_with(dst, 'conv::')) THEN 'conversation'
+  WHEN score IS NOT NULL AND NOT ((tier = 'EXTRACTED' AND score BETWEEN 0.95 AND 1.0) OR (tier = 'INFERRED' AND score BETWEEN 0.30 AND 0.94) OR (tier = 'AMBIGUOUS' AND score BETWEEN 0.0 AND 0.29)) THEN 'score' END AS problem FROM ve)
+SELECT * FROM p WHERE problem IS NOT NULL""",
+    "stale_mentions": f"""{GRAPH} SELECT DISTINCT src, list_last(string_split(dst, '::')) AS symbol, dst AS code_node FROM ve WHERE relation = 'mentions_symbol' AND dst IN (SELECT id FROM vn WHERE kind = 'function' AND maturity = 'growing')""",
+    "query_entities": r"""WITH q AS (SELECT DISTINCT qa_id, question FROM qa WHERE question IS NOT NULL)
+SELECT qa_id, unnest(list_distinct(list_transform(regexp_extract_all(question, '\p{Lu}[\p{L}\p{N}]+(?:[ ]\p{Lu}[\p{L}\p{N}]+)*'), lambda x: lower(x)))) AS entity FROM q""",
     "l1_windows": f"""WITH {CHUNK}, r AS (SELECT *, (row_number() OVER (PARTITION BY source_idx ORDER BY idx, chunk_id) - 1) // 3 AS g FROM ch)
 SELECT source_idx AS source, CAST(g AS INTEGER) AS grp, count(*) AS members, string_agg(text, ' ' ORDER BY idx, chunk_id) AS text FROM r GROUP BY source_idx, g""",
     "boundary_clarity": f"""WITH {VN}, {VV}, j AS (SELECT vn.namespace, vv.id, vec, lag(vec) OVER (PARTITION BY vn.namespace ORDER BY vv.id) AS b FROM vv JOIN vn ON vv.id = vn.id)

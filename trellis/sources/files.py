@@ -136,3 +136,56 @@ def pdf_texts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "text": out})
 
     return files.filter("kind = 'pdf'").select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def media_nodes(texts: DataFrame, namespace: str = "nimbus") -> DataFrame:
+    """A node per PDF file (path, text); its tokens are 0 if it has no text."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    tokens = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4).cast("int")))
+    return texts.select(F.col("path").alias("id"), name.alias("label"), F.lit("pdf").alias("kind"), F.lit(namespace).alias("namespace"), F.col("path").alias("source_file"), F.col("text").alias("content"), tokens.alias("tokens"))
+
+
+class Source:
+    """A kind of input: ``discover`` lists what is there, ``read`` gives it as rows."""
+
+    glob = "*.md"
+
+    def discover(self, spark: SparkSession, root: str) -> DataFrame:
+        return read_texts(spark, root, self.glob).select("path").orderBy("path")
+
+    def read(self, spark: SparkSession, root: str) -> DataFrame:
+        return documents(read_texts(spark, root, self.glob))
+
+
+class DocsSource(Source):
+    """Notes that hold no knowledge of their own."""
+
+    def read(self, spark: SparkSession, root: str) -> DataFrame:
+        return knots(super().read(spark, root))[1]
+
+
+class KnotSource(Source):
+    """Notes that hold knowledge."""
+
+    def read(self, spark: SparkSession, root: str) -> DataFrame:
+        return knots(super().read(spark, root))[0]
+
+
+class CodeSource(Source):
+    """Python files."""
+
+    glob = "*.py"
+
+    def read(self, spark: SparkSession, root: str) -> DataFrame:
+        return read_texts(spark, root, self.glob)
+
+
+class AtomizeUnavailable(RuntimeError):
+    """Memories must be atomized by hand first."""
+
+
+class MemorySource(Source):
+    """Memories can be listed, but not read as they are."""
+
+    def read(self, spark: SparkSession, root: str) -> DataFrame:
+        raise AtomizeUnavailable("memories are read through atomize: scan, propose, apply")
