@@ -19,33 +19,37 @@ def postings(docs: DataFrame, id_col: str, body: Column) -> DataFrame:
     return flat.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, body: Column) -> DataFrame:
-    """One row: number of documents and their mean length in terms."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(text.index_terms(F.coalesce(body, F.lit(""))))).alias("mean"))
-
-
 def bm25(docs: DataFrame, id_col: str, body: Column, query: list[str], top_k: int | None = None) -> DataFrame:
     """BM25 scores (id, score) above 0 for the query terms, which count as often as they are given.
 
     A term in more than half of the documents has a negative weight, in place of which
-    a quarter of the mean weight of all terms is taken. Only the postings of the
-    query's terms are scored; the means are one-row aggregates.
+    a quarter of the mean weight of all terms is taken.
+
+    Nothing of a document is shuffled: the frequencies of the query's terms are counted in
+    its row, and only document frequencies, combined on the map side, are exchanged.
     """
-    post = postings(docs, id_col, F.coalesce(body, F.lit("")))
-    stats = corpus_stats(docs, body)
     spark = docs.sparkSession
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", raw)  # stats is one row
-    floor = idf.agg(F.avg("idf").alias("m"))
-    wanted = spark.createDataFrame([(t, query.count(t)) for t in sorted(set(query))], "term string, times int")
-    weights = idf.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(floor)).select("term", "times", "n", "mean", F.when(F.col("idf") < 0, 0.25 * F.col("m")).otherwise(F.col("idf")).alias("idf"))
-    hit = post.join(F.broadcast(weights), "term")  # as many rows as the query has terms
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    out = hit.groupBy("id").agg(F.sum(part).alias("score"))
-    if top_k is not None:
-        out = out.orderBy(F.desc(F.round("score", 9)), "id").limit(top_k)
-    return out.filter("score > 0")
+    terms = docs.select(F.col(id_col).alias("id"), text.index_terms(F.coalesce(body, F.lit(""))).alias("t"))
+    stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    df = terms.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats is one row
+    wanted = sorted(set(query))
+    # one row: the mean weight, the mean length, and the weights of the query's terms, which are few
+    told = idf.agg(F.avg("idf").alias("floor"), F.first("mean").alias("mean"), *[F.max(F.when(F.col("term") == t, F.col("idf"))).alias(f"w{i}") for i, t in enumerate(wanted)])
+    size = F.size("t")
+
+    def times(t: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == t))
+
+    seen = terms.select("id", size.alias("len"), *[times(t).alias(f"f{i}") for i, t in enumerate(wanted)])
+    any_ = F.greatest(*[F.col(f"f{i}") for i in range(len(wanted))], F.lit(0)) if wanted else F.lit(0)
+    part = F.lit(0.0)
+    for i, t in enumerate(wanted):
+        w = F.when(F.col(f"w{i}") < 0, 0.25 * F.col("floor")).otherwise(F.col(f"w{i}"))
+        tf = F.col(f"f{i}")
+        part = part + F.when(tf > 0, query.count(t) * w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0)
+    out = seen.filter(any_ > 0).crossJoin(F.broadcast(told)).select("id", part.alias("score")).filter("score > 0")
+    return out if top_k is None else out.orderBy(F.desc(F.round("score", 9)), "id").limit(top_k)
 
 
 def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], top_k: int = 10) -> DataFrame:
