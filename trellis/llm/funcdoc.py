@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 5
+#: A sentence beyond so many characters is taken to say something; what only points elsewhere or announces is short.
+LONG_SENTENCE = 400
 
 FUNCTION = regex.compile(
     r"""(?(DEFINE)
@@ -43,7 +45,7 @@ _WORD = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}|(?:(?![\p{Han}\p{Hirag
 _PART = regex.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # fixed values: openings of lines that say nothing of the function
 _EMPTY = regex.compile(
-    r"""^\W*(?:
+    r"""^\W{0,20}(?:
       (?:to\s?do|fixme|tbd|tba|wip|xxx|hack|n/?a)\b.*
     | (?:pylint|flake8|noqa|mypy|pyright|ruff|isort|fmt|yapf|type|pragma|coding|nosec|autopep8|black|pycharm|noinspection|cython|doctest)\s*[:=].*
     | (?:noqa|nosec|nopep8)\b.*
@@ -110,7 +112,7 @@ def says_something(doc: str | None, *names: str | None) -> bool:
     kept = []
     for part in regex.split(r"\n\s*\n", running_text(doc)):
         for sentence in _SENTENCE.split(" ".join(part.split())):
-            if not _EMPTY.match(sentence):
+            if len(sentence) > LONG_SENTENCE or not _EMPTY.match(sentence):
                 kept.append(sentence)
     words = [w for s in kept for w in _WORD.findall(s.replace("_", " ")) if w.lower() not in own]
     return len(words) >= MIN_WORDS

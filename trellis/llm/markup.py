@@ -69,7 +69,7 @@ _TEMPLATE = re.compile(r"(?<![\\{])\{\{(?=[^\s{}])[^{}]*\}\}(?!\})")
 _WIKIHEAD = re.compile(r"^(={1,6})[ \t]*(?=[^\s=])([^\n]*?[^\s=])[ \t]*\1[ \t]*$", re.M)
 _APOSTROPHE = re.compile(r"(?<![\w'.,;:!?])('{5}|'{2,3})(?=[^\s'])((?:[^'\n]|'(?!')|\n(?!\s*\n))+?)(?<=[^\s'])\1(?!')")
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(?=[^\s#])([^\n]*?)[ \t#]*$", re.M)
-_SETEXT = re.compile(r"^(?! {0,3}(?:[|>#=-]|[*+][ \t]|\d+[.)][ \t]))([^\n]*\S[^\n]*)\n {0,3}(={2,}|-{2,})[ \t]*$", re.M)
+_SETEXT = re.compile(r"^(?! {0,3}(?:[|>#=-]|[*+][ \t]|\d+[.)][ \t]))(?=[ \t]*\S)([^\n]+)\n {0,3}(={2,}|-{2,})[ \t]*$", re.M)
 _TABLE = re.compile(r"^[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?|:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?)[ \t]*$\n?", re.M)
 _ROW = re.compile(r"^[ \t]*\|(.*?)\|?[ \t]*$", re.M)
 _QUOTE = re.compile(r"^ {0,3}(?:>[ \t]?)+(?=\S)(?:\[![A-Za-z]+\][+-]?[ \t]*)?", re.M)
