@@ -57,16 +57,20 @@ def subtract(available: Iterable[Interval], done: Iterable[Interval]) -> list[In
 def islands(rows: DataFrame, seq: str, by: list[str] | None = None) -> DataFrame:
     """The runs of consecutive sequence numbers in ``rows`` as (by..., lo, hi).
 
-    Sequence numbers are first cut into blocks of 2^20, whose islands are found in
-    parallel; only the block islands, which are few, are then put together.
+    Sequence numbers are cut into blocks of 2^20, whose islands are found in parallel.
+    Only islands that touch an end of their block can go on in the next one; they
+    are at most two a block, and only they are put in order together.
     """
     by = list(by or [])
     s = rows.filter(F.col(seq).isNotNull()).select(*by, F.col(seq).cast("long").alias("s")).distinct().withColumn("b", F.shiftright("s", 20))
     w = Window.partitionBy(*by, "b").orderBy("s")
     local = s.withColumn("g", F.col("s") - F.row_number().over(w)).groupBy(*by, "b", "g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    first, last = F.shiftleft("b", 20), F.shiftleft("b", 20) + (1 << 20) - 1
+    touches = (F.col("lo") == first) | (F.col("hi") == last)
     outer = Window.partitionBy(*by).orderBy("lo") if by else Window.partitionBy(F.lit(0)).orderBy("lo")
-    starts = local.withColumn("new", F.when(F.col("lo") == F.lag("hi").over(outer) + 1, 0).otherwise(1)).withColumn("k", F.sum("new").over(outer))
-    return starts.groupBy(*by, "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("k")
+    starts = local.filter(touches).withColumn("new", F.when(F.col("lo") == F.lag("hi").over(outer) + 1, 0).otherwise(1)).withColumn("k", F.sum("new").over(outer))
+    joined = starts.groupBy(*by, "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("k")
+    return local.filter(~touches).select(*by, "lo", "hi").unionByName(joined)
 
 
 class IntervalLedger:

@@ -23,34 +23,51 @@ def entity_groups(atoms: DataFrame, max_size: int = 5) -> DataFrame:
     """Groups of neighbouring atoms of a source that share an entity with their group: (source_idx, idx, grp).
 
     From (source_idx, idx, entities). A group of one joins the one before it, else the one
-    after it. A source is a text, so a task holds the atoms of one text at a time.
+    after it. The fold runs over sorted partitions as a stream and holds two groups at
+    a time, so the length of a source does not matter.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        groups: list[list] = []
-        shared: set = set()
-        for idx, entities in zip(pdf["idx"], pdf["entities"]):
-            own = set(entities if entities is not None else [])
-            if groups and own & shared and len(groups[-1]) < max_size:
-                groups[-1].append(idx)
-                shared |= own
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = object()
+        number, before, group, shared = 0, None, [], set()
+        rows: list[tuple] = []
+
+        def close() -> None:
+            """Put the finished group to the one before it, or that one out."""
+            nonlocal number, before
+            if not group:
+                return
+            if before is None:
+                before = list(group)
+            elif len(group) == 1 and len(before) < max_size or (number == 0 and len(before) == 1 and len(group) < max_size):
+                before += group
             else:
-                groups.append([idx])
-                shared = own
-        merged: list[list] = []
-        for g in groups:
-            if len(g) == 1 and merged and len(merged[-1]) < max_size:
-                merged[-1] += g
-            else:
-                merged.append(g)
-        if len(merged) > 1 and len(merged[0]) == 1 and len(merged[1]) < max_size:
-            merged[1] = merged[0] + merged[1]
-            merged.pop(0)
-        rows = [(pdf["source_idx"].iloc[0], i, k) for k, g in enumerate(merged) for i in g]
-        return pd.DataFrame(rows, columns=["source_idx", "idx", "grp"])
-
-    return atoms.select("source_idx", "idx", "entities").groupBy("source_idx").applyInPandas(run, "source_idx int, idx int, grp int")
+                rows.extend((at, i, number) for i in before)
+                number, before = number + 1, list(group)
+
+        def finish() -> None:
+            close()
+            rows.extend((at, i, number) for i in before or [])
+
+        for pdf in batches:
+            for source, idx, entities in zip(pdf["source_idx"], pdf["idx"], pdf["entities"]):
+                own = set(entities if entities is not None else [])
+                if source != at:
+                    finish()
+                    at, number, before, group, shared = source, 0, None, [], set()
+                if group and own & shared and len(group) < max_size:
+                    group.append(idx)
+                    shared |= own
+                else:
+                    close()
+                    group, shared = [idx], own
+            yield pd.DataFrame(rows, columns=["source_idx", "idx", "grp"])
+            rows.clear()
+        finish()
+        yield pd.DataFrame(rows, columns=["source_idx", "idx", "grp"])
+
+    ordered = atoms.filter("source_idx IS NOT NULL").select("source_idx", "idx", "entities").repartition("source_idx").sortWithinPartitions("source_idx", "idx")
+    return ordered.mapInPandas(run, "source_idx int, idx int, grp int")
 
 
 def nearest(level: DataFrame, query: list[float], top_k: int) -> DataFrame:

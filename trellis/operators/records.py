@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.clock import iso_micros
+from trellis.session import cut
 
 
 def last_by(rows: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:
@@ -79,7 +80,8 @@ def allocate_ids(rows: DataFrame, key: str, first: int, prefix: str = "KNOW", wi
     """
     one = rows.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
     w = Window.partitionBy("part").orderBy(key)
-    numbered = one.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(w))
+    # written once, so that both uses below see the same ranges
+    numbered = cut(one.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(w)))
     sizes = numbered.groupBy("part").agg(F.max("n").alias("size"), F.min(key).alias("low"))
     offset = sizes.withColumn("offset", F.sum("size").over(Window.orderBy("low")) - F.col("size")).select("part", "offset")
     return numbered.join(F.broadcast(offset), "part").select(key, F.format_string(f"{prefix}-%0{width}d", F.col("offset") + F.col("n") - 1 + first).alias("know_id"))
