@@ -95,6 +95,12 @@ alike AS (SELECT i.rec_table, id_a, id_b FROM i JOIN n x ON i.rec_table = x.rec_
 
 SQL = {
     "p1_found": f"WITH {_GRAMS} SELECT rec_table, id_a, id_b FROM alike",
+    "p1_links": f"""WITH {_GRAMS},
+cl AS (SELECT rec_table, norm, min(id) AS class_id FROM rec WHERE norm IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+mem AS (SELECT r.rec_table, r.id, c.class_id FROM rec r JOIN cl c ON r.rec_table = c.rec_table AND r.norm = c.norm),
+lk AS (SELECT a.rec_table, x.class_id AS p, y.class_id AS q FROM alike a JOIN mem x ON a.rec_table = x.rec_table AND a.id_a = x.id JOIN mem y ON a.rec_table = y.rec_table AND a.id_b = y.id WHERE x.class_id <> y.class_id),
+n2 AS (SELECT rec_table, p, count(DISTINCT q) AS n FROM (SELECT * FROM lk UNION SELECT rec_table, q, p FROM lk) GROUP BY ALL)
+SELECT mem.rec_table, id, class_id, coalesce(n, 0) AS links FROM mem LEFT JOIN n2 ON mem.rec_table = n2.rec_table AND class_id = p""",
     "p4_found": r"""
 WITH l AS (SELECT node_id, vec FROM (SELECT DISTINCT node_id, vec, append_seq FROM embed_cache) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY append_seq DESC) = 1),
 v AS (SELECT node_id, vec::DOUBLE[] AS vec FROM l WHERE len(vec) = 64 AND len(list_filter(vec, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
