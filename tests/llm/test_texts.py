@@ -132,6 +132,37 @@ def test_leaks(spark):
     assert leak.leaks(d.limit(0), qa).count() == 0 and leak.leaks(d, qa.limit(0)).count() == 0
 
 
+def test_leaks_under_the_gate(spark):
+    """Passages of 16 words with two edits in long documents, where the latent gate finds nothing at all."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [[rnd.choice(words) for _ in range(60)] for _ in range(30)]
+    docs, want = [], set()
+    for k, t in enumerate(texts):
+        part = t[k : k + 16]
+        part[5], part[11] = "unseen", "other"
+        filler = [rnd.choice(words) for _ in range(40)]
+        docs.append((k, " ".join(filler + part + filler[::-1])))
+        want.add((k, k))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    qa = spark.createDataFrame([(k, None, None, " ".join(t)) for k, t in enumerate(texts)], "qa_id int, question string, answer string, source_text string")
+    assert {(r["doc_id"], r["qa_id"]) for r in leak.leaks(d, qa, cosine=2.0).collect()} == want
+    assert {(r["doc_id"], r["qa_id"]) for r in leak.leaks(d, qa).collect()} == want
+
+
+def test_every_passage_has_a_run():
+    rnd = random.Random(5)
+    for n in (16, 17, 23, 24, 31, 40):
+        for _ in range(200):
+            source = [str(i) for i in range(n)]
+            doc = source[:]
+            for i in rnd.sample(range(n), n // align.PER_EDIT):
+                doc[i] = rnd.choice(["x", "", f"{i} x"])
+            doc = " ".join(doc).split()
+            if align.longest_passage(align.places(source), n, doc):
+                assert leak.Runs([leak.word_hashes(" ".join(source))]).texts(leak.word_hashes(" ".join(doc))) == {0}
+
+
 GOOD = "The crawler logs a 404 Not Found for the page and goes on. Filler such as lorem ipsum must never enter the vault of the team."
 
 

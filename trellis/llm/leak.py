@@ -6,8 +6,9 @@ summed over the partitions) of the passages of all documents, with those of the
 evaluation texts put under them at TEXT_WEIGHT times their energy, gives the latent
 space; without that weight the leading directions are those of the corpus's common
 words and the rare names that tell a passage are lost. Windows of documents whose latent cosine to a window of an evaluation text
-reaches COSINE make the pair a candidate, which the longest common subsequence with
-few edits then settles over the whole document.
+reaches COSINE make the pair a candidate. So does a run of RUN equal words: no case is
+without one, so what lies under COSINE, or outside of a space of RANK, is not lost. The
+longest common subsequence with few edits then settles every candidate over the whole document.
 
 Scale: the evaluation set is small and bounded (its size is checked), so its words,
 latent vectors and windows are broadcast; documents are read once, kept as word hashes,
@@ -32,6 +33,9 @@ BUCKETS, RANK, OVERSAMPLE = 1 << 16, 176, 16
 TEXT_WEIGHT = 16.0
 DOC_WINDOW, DOC_STEP, TEXT_WINDOW, TEXT_STEP = 16, 5, 24, 8
 COSINE = 0.42
+#: A passage of n >= 16 words with e <= n / 8 edits has at least n - e equal words in at most e + 1 runs,
+#: so one run has at least (n - e) / (e + 1) of them: over 4 at 16 words with 2 edits, more in any longer passage.
+RUN = 5
 #: Evaluation texts beyond this many are refused: they are broadcast.
 MAX_TEXTS = 20_000
 _SEED = 7
@@ -158,6 +162,36 @@ def _sum_matrix(tokens: DataFrame, space: Space, right: np.ndarray) -> np.ndarra
     return out
 
 
+def runs_of(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of RUN words, in order."""
+    w, n = words.view(np.uint64), max(0, len(words) - RUN + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(RUN):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n]
+    return out
+
+
+class Runs:
+    """Which texts hold each run of RUN words."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        each = [np.unique(runs_of(t)) for t in texts]
+        keys = np.concatenate([*each, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(e) for e in each])
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.owner, self.ends = owner[order], np.append(first, len(keys))
+
+    def texts(self, words: np.ndarray) -> set[int]:
+        """Indices of the texts that share a run with the document."""
+        if not len(self.keys):
+            return set()
+        runs = runs_of(words)
+        at = np.minimum(np.searchsorted(self.keys, runs), len(self.keys) - 1)
+        hit = np.unique(at[self.keys[at] == runs])
+        return {k for h in hit.tolist() for k in self.owner[self.ends[h] : self.ends[h + 1]].tolist()}
+
+
 def fit(tokens: DataFrame, texts: list[np.ndarray], rank: int = RANK) -> Space:
     """Document frequencies and the randomised SVD over all documents."""
     rows = tokens.select("words").mapInPandas(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -226,16 +260,16 @@ def leaks(documents: DataFrame, qa: DataFrame, cosine: float = COSINE) -> DataFr
         z = space.latent(t["words"], TEXT_WINDOW, TEXT_STEP, space.basis)
         rows.append(z)
         owner += [k] * len(z)
-    shared = spark.sparkContext.broadcast((space, texts, np.concatenate(rows), np.array(owner)))
+    shared = spark.sparkContext.broadcast((space, texts, np.concatenate(rows), np.array(owner), Runs([t["words"] for t in texts])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, texts, queries, owner = shared.value
+        s, texts, queries, owner, runs = shared.value
         at = [align.places(t["words"].tolist()) for t in texts]
         for pdf in batches:
             out = []
             for doc_id, words in zip(pdf["doc_id"], pdf["words"]):
                 words = np.asarray(words, np.int64)
-                near: set[int] = set()
+                near = runs.texts(words)
                 for a in range(0, len(words), 20_000):
                     z = s.latent(words[a : a + 20_000 + DOC_WINDOW], DOC_WINDOW, DOC_STEP, s.basis)
                     near.update(owner[np.flatnonzero((z @ queries.T >= cosine).any(axis=0))].tolist())
