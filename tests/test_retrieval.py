@@ -52,6 +52,21 @@ def test_similar_pairs_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 0
 
 
+def test_similar_pairs_at_the_threshold(spark):
+    """All pairs are found where cosines lie about the threshold, and in as many blocks as there may be."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((150, 64))
+    v = np.concatenate([base, base + rng.standard_normal((150, 64)), np.zeros((1, 64))])
+    df = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(v)], "id string, vec array<double>")
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    want = {(f"v{i:03d}", f"v{j:03d}") for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.65}
+    assert len(want) > 100
+    assert {(r["a"], r["b"]) for r in link.similar_pairs(df, 0.65).collect()} == want
+    assert {(r["a"], r["b"]) for r in link.similar_pairs(df, 0.65, block=40).collect()} == want
+
+
 def test_probe_fold_equals_stream(spark, tmp_path):
     import random
 

@@ -120,7 +120,7 @@ def drift_flags(spark, d):
 
 
 def similarity_edges(spark, d):
-    return link.similarity_edges(_vectors(spark, d), _edges(spark, d), 0.75)
+    return link.similarity_edges(_vectors(spark, d), _edges(spark, d))
 
 
 def embedding_bridges(spark, d):
