@@ -194,6 +194,19 @@ def test_residue_over_tables(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+MESSAGE_LINES = (
+    "Zugriff verweigert|Acceso denegado|Accès refusé|HTTP 500|405 Method Not Allowed|402 Payment Required|This page is not available.|This page has been deleted.|The page you are looking for has been moved.|"
+    "The site is currently down.|Das ist ein Beispieltext|Texto de ejemplo|Faux texte|Example text|示例文本"
+).split("|")
+
+
+def test_every_message_may_be_one(spark):
+    assert all(a for a in residue.alternatives())
+    assert all(residue.verdict(residue.mask(m), residue.mask(m)) and residue.may_be_message(m) for m in MESSAGE_LINES)
+    d = spark.createDataFrame(list(enumerate(MESSAGE_LINES)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.residue(d).collect()} == set(range(len(MESSAGE_LINES)))
+
+
 def test_templates_merge():
     t = residue.merge_leaf(["error <*> in node a", "error <*> in node b", "error <*> in edge c"])
     assert set(t.values()) == {"error <*> in <*> <*>"} or len(set(t.values())) <= 2

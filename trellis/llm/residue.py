@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from re import _parser
 
 import ahocorasick
 import pandas as pd
@@ -57,25 +58,6 @@ _TRIGGER = re.compile(
 )
 _QUOTED = re.compile("[\"'“”„«»‘’「」`]")
 
-# fixed values: strings, one of which every line has that may be a message
-_MARKS = (
-    "javascript|java script|scripts|skript|脚本|browser|cookie|error|fehler|erreur|exception|traceback|fatal|failure|failed|denied|forbidden|unauthoriz|unauthoris|not found|nicht gefunden|angeforderte|gewünschte|gesuchte|"
-    "no encontrada|página|introuvable|page demandée|不存在|无法|错误|拒绝|过期|页面|unavailable|timeout|time-out|timed out|bad gateway|bad request|expired|abgelaufen|expirado|caducado|expiré|went wrong|schief|algo sali|algo ha|"
-    "too many|zu viele|demasiadas|trop de|connect|limit of|rate limit|reset|gone|status|no healthy|server|file \"/|segmentation|loading|checking|please|bitte|sign in|log in|captcha|maintenance|could not|cannot be|does not exist|no longer|requested|zurück|volver|retour|try again|retry|reload|"
-    "go back|return to|turn it on|oops|sorry|whoops|hoppla|contact the|your request|your session|request|ray id|código|type:|lorem|filler|blindtext|platzhalter|fülltext|relleno|fictif|factice|remplissage|placeholder|dummy|sample text|content here|goes here|text here|占位|此处|这里|under construction|coming soon|"
-    "enable|activate|aktivieren|habilitar|activez|启用|开启|wait while|brown fox|warning:|notice:"
-).split("|")
-
-
-@cache
-def _marks() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for m in _MARKS:
-        a.add_word(m, len(m))
-    a.make_automaton()
-    return a
-
-
 _CODES = r"(?:4\d\d|5\d\d|<\*>)"
 # fixed values: what messages say, from the start of a line
 MESSAGES = [
@@ -137,6 +119,74 @@ MESSAGES = [
         ),
     ),
 ]
+
+
+def _rarity(strings: set[str]) -> tuple:
+    return not strings & _FUNCTION, min(map(len, strings)), -len(strings)
+
+
+def _needed(parsed) -> list[set[str]]:
+    """Sets of strings, the rarest first: every match of a parsed pattern holds a string of each."""
+    sets: list[set[str]] = []
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        # digits and masks differ between a line and its masked form, so what is needed must not hold them
+        if op is _parser.LITERAL and not chr(arg).isdigit() and chr(arg) not in "<*> ":
+            run += chr(arg)
+            continue
+        if run:
+            sets.append({run.lower()})
+            run = ""
+        got: list[set[str]] = []
+        if op is _parser.SUBPATTERN:
+            got = _needed(arg[-1])
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+            got = _needed(arg[2])
+        elif op is _parser.BRANCH:
+            each = [_needed(x) for x in arg[1]]
+            got = [set().union(*(x[0] for x in each))] if all(each) else []
+        sets += got
+    return sorted(sets, key=_rarity, reverse=True)
+
+
+@cache
+def alternatives() -> list[list[set[str]]]:
+    """For each alternative of MESSAGES the sets of strings of each of which a line must hold one to match it."""
+    out = []
+    for _, pattern in MESSAGES:
+        # the alternatives are the pattern's last branch of its own
+        branch = [arg for op, arg in _parser.parse(pattern.pattern, re.I | re.X) if op is _parser.BRANCH][-1]
+        for each in branch[1]:
+            need = _needed(each)
+            if not need:
+                raise ValueError(f"an alternative of MESSAGES without a string that all of its lines hold: {each}")
+            out.append(need)
+    return out
+
+
+@cache
+def _marks() -> ahocorasick.Automaton:
+    by: dict[str, list[list[set[str]]]] = {}
+    for first, *rest in alternatives():
+        for m in first:
+            by.setdefault(m, []).append(rest)
+    a = ahocorasick.Automaton()
+    for m, rests in by.items():
+        a.add_word(m, rests)
+    a.make_automaton()
+    return a
+
+
+#: Letters that the patterns take for i and s where case doesn't matter.
+_FOLD = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
+
+
+def may_be_message(line: str) -> bool:
+    """Whether a line holds what some alternative of MESSAGES needs: no other line can match one, nor can a template it is merged into."""
+    low = line.translate(_FOLD).lower()
+    return any(all(any(w in low for w in x) for x in rest) for _, rests in _marks().iter(low) for rest in rests)
+
+
 # fixed values: lines of a page's frame, which are neither content nor message
 _FRAME = regex.compile(
     r"^\W{0,20}(?:skip\s+to\s+(?:main\s+)?content|menu|sign\s+in|log\s*in|sign\s+up|register|home|search|help|about|contact|imprint|impressum|privacy(?:\s+policy)?|terms(?:\s+of\s+(?:use|service))?|(?:home|notes|search|help|about|contact|start|blog|faq|login|menu)(?:\s*[|·>/–-]\s*\w+)+|(?:©|\(c\)|copyright)\s.{0,60})\W*$",
@@ -200,8 +250,7 @@ def read_document(text: str) -> dict:
     whole = _size(t)
     code = whole - _size(prose)
     frame = filler = ordinary = 0
-    lines: Counter[str] = Counter()
-    find = _marks().iter
+    lines: dict[str, list[int]] = {}
     repeats = Counter(p for p in pieces if p)
     many = sum(1 for p in pieces if p)
     for p in pieces:
@@ -218,22 +267,28 @@ def read_document(text: str) -> dict:
             filler += n
         elif len(words) >= 4 and sum(w in _MASH for w in words) * 5 >= 4 * len(words):
             filler += n
-        elif next(find(p.lower()), None):
-            lines[mask(p)] += n
-        elif len(words) >= 3 and len(words) * 2 >= n and not any(w in _FUNCTION for w in words):
-            ordinary += n  # filler only if the whole document is of this kind
-    return {"words": whole, "frame": frame, "filler": filler, "odd": ordinary, "code": code, "slot": has_slot(prose), "lines": list(lines.items())}
+        else:
+            odd = n if len(words) >= 3 and len(words) * 2 >= n and not any(w in _FUNCTION for w in words) else 0
+            if may_be_message(p):
+                got = lines.setdefault(mask(p), [0, 0])
+                got[0] += n
+                got[1] += odd
+            else:
+                ordinary += odd  # filler only if the whole document is of this kind
+    return {"words": whole, "frame": frame, "filler": filler, "odd": ordinary, "code": code, "slot": has_slot(prose), "lines": [(k, v[0]) for k, v in lines.items()], "odds": [v[1] for v in lines.values()]}
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [read_document(t) for t in pdf["text"]]
+        for g in got:
+            g["odd"] += sum(g["odds"])  # those of lines that turn out to be messages are taken off again
         yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], **{k: [g[k] for g in got] for k in ("words", "frame", "filler", "odd", "code", "slot")}, "lines": [[{"masked": a, "size": b} for a, b in g["lines"]] for g in got]}
+            {"doc_id": pdf["doc_id"], **{k: [g[k] for g in got] for k in ("words", "frame", "filler", "odd", "code", "slot")}, "lines": [[{"masked": a, "size": b, "odd": c} for (a, b), c in zip(g["lines"], g["odds"])] for g in got]}
         )
 
 
-SCAN = "doc_id bigint, words int, frame int, filler int, odd int, code int, slot boolean, lines array<struct<masked:string,size:int>>"
+SCAN = "doc_id bigint, words int, frame int, filler int, odd int, code int, slot boolean, lines array<struct<masked:string,size:int,odd:int>>"
 
 
 def merge_leaf(lines: list[str], share: float = MERGE) -> dict[str, str]:
@@ -306,11 +361,11 @@ def residue(documents: DataFrame, mostly: float = MOSTLY) -> DataFrame:
     docs = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     # texts are read where they lie; only what was read of them is shuffled
     scanned = cut(docs.mapInPandas(_scan, SCAN).dropDuplicates(["doc_id"]))
-    lines = scanned.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.masked", "l.size")
+    lines = scanned.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.masked", "l.size", F.col("l.odd").alias("told"))
     kinds = templates_of(lines).filter(F.col("kind").isNotNull()).select("masked", "kind", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     hit = lines.withColumn("salt", F.pmod("doc_id", F.lit(SALT)).cast("int")).join(kinds, ["masked", "salt"])
-    sums = hit.groupBy("doc_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(k) for k in ("error", "notice", "filler")])
-    all_ = scanned.drop("lines").withColumnRenamed("filler", "mash").join(sums, "doc_id", "left").fillna(0, ["error", "notice", "filler"])
+    sums = hit.groupBy("doc_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(k) for k in ("error", "notice", "filler")], F.sum("told").alias("told"))
+    all_ = scanned.drop("lines").withColumnRenamed("filler", "mash").join(sums, "doc_id", "left").fillna(0, ["error", "notice", "filler", "told"]).withColumn("odd", F.col("odd") - F.col("told"))
     own = F.col("words") - F.col("frame")
     odd = F.when(F.col("odd") * 10 >= (own - F.col("code")) * 9, F.col("odd")).when((F.col("filler") + F.col("mash") > 0), F.col("odd")).otherwise(0)
     wide = all_.withColumn("filler", F.col("filler") + F.col("mash") + F.when(F.col("odd") >= 8, odd).otherwise(0))
