@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"trellis-{os.getpid()}")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -61,6 +63,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """An equi-join that is a sort-merge join whatever the sizes are estimated to be.
+
+    For sides that grow with the data and whose size the planner can't know, such as
+    exploded lists and what Python code returns. AQE may still split hot partitions.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as shuffles have: for work in Python, whose cost the bytes that AQE goes by don't show."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
