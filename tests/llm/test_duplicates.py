@@ -2,10 +2,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trellis.llm import fuzzy, golay, history, shingles
+from trellis.session import shuffled
 
 
 def test_golay_lists_meet():
@@ -87,24 +89,61 @@ def test_batches_equal_greedy_and_stepwise(spark):
     rows = [(0 if i < 90 else 1 + (i - 90) // 50, i, t) for i, t in enumerate(texts)] + [(1, 95, texts[95]), (2, 500, None), (2, 501, "ab")]
     df = spark.createDataFrame([(b, c, t, "x") for b, c, t in rows], "batch_no int, chunk_id bigint, text string, block string")
     want = _greedy(rows)
-    kept, tables = history.history_of(df.filter("batch_no = 0"))
-    cases, accepted, _ = history.dedup_batches(kept, tables, df.filter("batch_no > 0"))
-    got = {r["chunk_id"]: r["reused_id"] for r in cases.collect()}
+    store = history.new_store(spark)
+    history.begin(store, df.filter("batch_no = 0"))
+    got = {r["chunk_id"]: r["reused_id"] for r in history.dedup_batches(store, df.filter("batch_no > 0")).collect()}
+    store.close()
     same = sum(got.get(k) == v for k, v in want.items())
     assert same >= 0.98 * len(want) > 20 and len(set(got) - set(want)) <= 1
-    # one batch at a time, with the tables appended, gives the same
-    step, at = {}, (kept, tables)
+    # one batch at a time gives the same, also if the store is opened anew for each
+    step, first = {}, history.new_store(spark)
+    history.begin(first, df.filter("batch_no = 0"))
     for b in (1, 2, 3):
-        c, new, t = history.dedup_batches(*at, df.filter(F.col("batch_no") == b))
-        step |= {r["chunk_id"]: r["reused_id"] for r in c.collect()}
-        at = (at[0].unionByName(new), at[1].unionByName(t))
+        again = history.BlockStore(spark, first.root)
+        step |= {r["chunk_id"]: r["reused_id"] for r in history.dedup_batches(again, df.filter(F.col("batch_no") == b)).collect()}
     assert step == got
+    # the tables of history are not shuffled: the only exchange is that of the batch
+    plan = shuffled(history.block_tables(spark.createDataFrame([(1, "some text")], history.TEXTS)), first.tables(), "block")._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("SortMergeJoin") :].split("FileScan")[0]
+    assert side.count("Exchange hashpartitioning") == 1
+
+
+def test_rotation_follows_the_block():
+    """Equal texts agree in all tables; a table's bits are those that come after its block."""
+    pdf = pd.DataFrame({"class_id": [1, 2], "norm": ["the quick survey of nodes"] * 2})
+    got = next(history._rotations(iter([pdf])))
+    one, two = got.iloc[: history.BLOCKS], got.iloc[history.BLOCKS :]
+    assert (one[["block", "f0", "f1"]].to_numpy() == two[["block", "f0", "f1"]].to_numpy()).all() and one["block"].nunique() == history.BLOCKS
+    assert list(history._rotations(iter([pd.DataFrame({"class_id": [1], "norm": ["ab"]})]))) == []
+
+
+def test_layout_recall():
+    """Pairs at the threshold share a Golay key of a segment, minhash values being independent."""
+    rng, n = np.random.default_rng(5), 4000
+    layout, weights = fuzzy._layout(), 1 << np.arange(golay.N)
+    equal = rng.random((n, fuzzy.POOL)) < fuzzy.SIMILARITY
+    bits = rng.integers(0, 2, (n, fuzzy.POOL))
+    other = np.where(equal, bits, rng.integers(0, 2, (n, fuzzy.POOL)))
+    found = np.zeros(n, bool)
+    for s in range(fuzzy.SEGMENTS):
+        stem = equal[:, fuzzy.STEM * s : fuzzy.STEM * s + fuzzy.STEM].all(axis=1)
+        (a, x), (b, y) = (golay.near_codewords((v[:, layout[s]] * weights).sum(axis=1)) for v in (bits, other))
+        found |= stem & ((a[:, :, None] == b[:, None, :]) & x[:, :, None] & y[:, None, :]).any(axis=(1, 2))
+    assert found.mean() >= 0.997
+
+
+def test_no_join_is_broadcast(spark):
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(_texts(30, 2))], "rec_table string, id bigint, text string")
+    got = fuzzy.alike_pairs(df)
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_history(spark):
     df = spark.createDataFrame([(1, 1, "some words that stand here"), (1, 2, "some words that stand here")], "batch_no int, chunk_id bigint, text string")
-    kept, tables = history.history_of(df.limit(0))
-    assert [tuple(r) for r in history.dedup_batches(kept, tables, df)[0].collect()] == [(1, 2)]
+    store = history.new_store(spark)
+    history.begin(store, df.limit(0))
+    assert [tuple(r) for r in history.dedup_batches(store, df).collect()] == [(1, 2)]
 
 
 def test_settle_chain(spark):

@@ -24,9 +24,9 @@ def p1_links(spark, d):
 
 def p2_found(spark, d):
     chunks = table(spark, d, "chunks").select("chunk_id", "text", "batch_no")
-    kept, tables = history.history_of(chunks.filter("batch_no = 0"))
-    cases, _, _ = history.dedup_batches(kept, tables, chunks.filter("batch_no > 0"))
-    return cases
+    store = history.new_store(spark)
+    history.begin(store, chunks.filter("batch_no = 0"))
+    return history.dedup_batches(store, chunks.filter("batch_no > 0"))
 
 
 def p4_found(spark, d):

@@ -57,14 +57,16 @@ class MinHash:
 
     def __init__(self, n: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 2**63, n, dtype=np.uint64) | _U64(1)
-        self.b = rng.integers(0, 2**63, n, dtype=np.uint64)
+        self.a = rng.integers(1, 2**32, n, dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, n, dtype=np.uint32)
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
+        """The shingles are scrambled words already, so 32 bits of each under an affine map will do."""
         least = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
         for at in range(0, len(g), 2048):  # long texts in blocks
-            h = g[at : at + 2048, None] * self.a + self.b
-            np.minimum(least, (h >> _U64(32)).astype(np.uint32).min(axis=0), out=least)
+            h = (g[at : at + 2048] >> _U64(32)).astype(np.uint32)[:, None] * self.a
+            h += self.b
+            np.minimum(least, h.min(axis=0), out=least)
         return least
 
 
