@@ -21,31 +21,61 @@ def test_interval_algebra(a, b):
 
 
 def test_islands_cross_blocks(spark):
-    edge = 1 << 20
+    edge = 1 << inc.SHIFT
     rows = spark.createDataFrame([(x,) for x in [1, 2, 3, 3, 7, edge - 1, edge, edge + 1, None]], "s bigint")
     assert sorted((r["lo"], r["hi"]) for r in inc.islands(rows, "s").collect()) == [(1, 3), (7, 7), (edge - 1, edge + 1)]
 
 
+def _intervals(ledger):
+    return sorted((r["lo"], r["hi"]) for r in ledger.intervals().collect())
+
+
 def test_ledger_late_rows_and_failures(spark, tmp_path):
     ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    edge = 1 << inc.SHIFT
     source = lambda xs: spark.createDataFrame([(x, f"v{x}") for x in xs], "seq bigint, v string")
     first = ledger.run(source([1, 2, 5]), "seq", lambda df: df)
     assert sorted(r["seq"] for r in first.collect()) == [1, 2, 5]
+    later = [1, 2, 3, 5, 6, edge - 1, edge, None]
     with pytest.raises(ZeroDivisionError):
-        ledger.run(source([1, 2, 3, 5, 6]), "seq", lambda df: 1 / 0)
-    again = ledger.run(source([1, 2, 3, 5, 6]), "seq", lambda df: df)
-    assert sorted(r["seq"] for r in again.collect()) == [3, 6]
-    assert ledger.state()["intervals"] == [(1, 3), (5, 6)]
-    assert ledger.run(source([1, 2, 3, 5, 6]), "seq", lambda df: df).count() == 0
-    assert sorted(r["seq"] for r in ledger.output().collect()) == [1, 2, 3, 5, 6]
+        ledger.run(source(later), "seq", lambda df: 1 / 0)
+    again = ledger.run(source(later), "seq", lambda df: df)
+    assert sorted(r["seq"] for r in again.collect()) == [3, 6, edge - 1, edge]
+    assert _intervals(ledger) == [(1, 3), (5, 6), (edge - 1, edge)]
+    assert ledger.run(source(later), "seq", lambda df: df).count() == 0
+    assert sorted(r["seq"] for r in ledger.output().collect()) == [1, 2, 3, 5, 6, edge - 1, edge]
+
+
+def test_a_crash_between_output_and_commit(spark, tmp_path, monkeypatch):
+    """Output and intervals are on disk, the manifest is not: the next run finds the same gaps, and nothing comes twice."""
+    ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/crash")
+    source = spark.createDataFrame([(x,) for x in [1, 2, 4]], "seq bigint")
+
+    def crash(body):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "_publish", crash)
+        with pytest.raises(OSError):
+            ledger.run(source, "seq", lambda df: df)
+    assert ledger.output() is None and ledger.state()["n"] == 0
+    assert sorted(r["seq"] for r in ledger.run(source, "seq", lambda df: df).collect()) == [1, 2, 4]
+    assert sorted(r["seq"] for r in ledger.output().collect()) == [1, 2, 4]
 
 
 def test_a_commit_is_made_once(spark, tmp_path):
     ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/l2")
-    ledger._publish({"n": 1, "intervals": [[1, 2]], "outputs": []})
+    ledger._publish({"n": 1, "intervals": None, "outputs": ["a"]})
     with pytest.raises(RuntimeError):
-        ledger._publish({"n": 1, "intervals": [[1, 3]], "outputs": []})
-    assert ledger.state()["intervals"] == [(1, 2)]
+        ledger._publish({"n": 1, "intervals": None, "outputs": ["b"]})
+    assert ledger.state()["outputs"] == ["a"]
+
+
+def test_placed(spark):
+    parts = spark.createDataFrame([(0, 2, 4, "x"), (0, 7, 7, "y"), (1, 1 << inc.SHIFT, (1 << inc.SHIFT) + 1, "z")], inc.INTERVALS + ", r string")
+    rows = spark.createDataFrame([(x, "k") for x in [1, 2, 4, 5, 7, 8, (1 << inc.SHIFT) + 1, 4, None]], "seq bigint, lo string")
+    got = sorted((r["seq"], r["part"]["r"]) for r in inc.placed(rows, "seq", parts).collect() if r["part"])
+    assert got == [(2, "x"), (4, "x"), (4, "x"), (7, "y"), ((1 << inc.SHIFT) + 1, "z")]
 
 
 D = lambda m, d=1: datetime(2025, m, d)

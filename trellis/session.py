@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -88,6 +89,29 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def create_once(spark: SparkSession, tmp, at) -> bool:
+    """Give the file ``tmp`` the name ``at`` (both Hadoop paths) unless that exists; whether it was done.
+
+    On a local disk by a hard link, which fails if the name is taken; elsewhere by the file
+    system's rename without overwriting.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = at.getFileSystem(conf)
+    try:
+        if fs.getScheme() == "file":
+            os.link(tmp.toUri().getPath(), at.toUri().getPath())
+            return True
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(tmp, at, none)
+        return True
+    except (FileExistsError, Py4JJavaError):
+        if fs.exists(at):
+            return False
+        raise
+    finally:
+        fs.delete(tmp, False)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     reach_workers(spark)
