@@ -132,6 +132,17 @@ def test_layout_recall():
     assert found.mean() >= 0.997
 
 
+def test_hot_keys_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, int(f), int(g)) for i, (k, f, g) in enumerate(zip([7] * 300 + [8] * 40 + list(range(20, 60)), rng.integers(-(2**62), 2**62, 380), rng.integers(-(2**62), 2**62, 380)))]
+    rows += [(9, 500 + i, 5, 5 ^ (1 << i)) for i in range(30)] + [(7, 900, rows[3][2], rows[3][3] ^ 1)]
+    df = spark.createDataFrame(rows, "key bigint, n bigint, f0 bigint, f1 bigint")
+    got = {lim: {tuple(r) for r in fuzzy.near_pairs(df, lim).collect()} for lim in (10, 1000)}
+    assert got[10] == got[1000] and (3, 900) in got[10] and len(got[10]) >= 30 * 29 // 2
+    want = {(a[1], b[1]) for a, b in combinations(sorted(rows, key=lambda r: r[1]), 2) if a[0] == b[0] and ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() + ((a[3] ^ b[3]) & (2**64 - 1)).bit_count() <= fuzzy.MAX_BITS}
+    assert got[10] == want
+
+
 def test_no_join_is_broadcast(spark):
     df = spark.createDataFrame([("t", i, t) for i, t in enumerate(_texts(30, 2))], "rec_table string, id bigint, text string")
     got = fuzzy.alike_pairs(df)

@@ -33,9 +33,17 @@ def test_recall_and_hot_lists(spark):
     want = _brute(ids, v, 5, 0.7)
     got = _found(spark, ids, v)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
-    # lists that are longer than allowed are refined and cut into blocks, and lose little
+    # files that are longer than allowed are cut into blocks and lose nothing
     split = _found(spark, ids, v, list_limit=20)
-    assert len(split & want) >= 0.9 * len(want)
+    assert len(split & want) >= len(got & want)
+    # the footrule decides what is reranked
+    few = _found(spark, ids, v, kept=2)
+    assert len(few & want) < len(got & want)
+
+
+def test_footrule():
+    a, b = np.array([[3, 1, 2], [5, 6, 7]]), np.array([[3, 2, 9], [7, 5, 6], [0, 4, 8]])
+    assert neighbours.shared_weight(a, b).tolist() == [[3 + 1, 0, 0], [0, 1 + 2 + 1, 0]]
 
 
 def test_equal_vectors(spark):

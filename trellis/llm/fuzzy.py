@@ -14,11 +14,13 @@ too few to tell the texts of a large collection apart, and the code cuts the pai
 stem's bucket to about one in seventy. Recall of this layout, simulated over 20,000 pairs
 with independent minhash values: 0.9990 at similarity 0.70, 0.9996 at 0.72, 0.9999 from 0.75.
 
-Scale: exact copies are one class, so a text that holds a third of all rows is one row in
-the join. No join here is left to a size estimate, which can't see what a decoder or an
-exploded list brings forth: all are sort-merge joins by hint, whose hot partitions AQE
-splits. Keys travel with ids and fingerprints only; texts are fetched last, for the pairs
-that pass the Hamming test.
+Scale: exact copies are one class, so a text that holds a third of all rows is one row here.
+The one large shuffle is that of the keys, which travel with a number and 128 bits; they are
+put in order once and the pairs of a key are read off the order in batches. Keys of more than
+RUN classes are set apart and cut into blocks whose pairs are separate tasks, so no task holds
+an unbounded group and nothing is dropped. Joins are sort-merge joins by hint: a size estimate
+can't see what a decoder or an exploded list brings forth. Texts are fetched last, for the
+pairs that pass the Hamming test.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,8 @@ SIMILARITY = 0.70
 #: One-bit minhashes of a pair at similarity 0.70 differ in 15 % of 128 bits, 19.2 with
 #: a deviation of 4.0; beyond 41 (5.4 deviations) a candidate is not checked further.
 MAX_BITS = 41
+#: Longest run of classes under one key that one task takes whole.
+RUN = 2000
 _SEED = 20250923
 
 
@@ -51,30 +57,111 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pool, layout = shingles.MinHash(POOL, _SEED), _layout()
     weights = 1 << np.arange(golay.N, dtype=np.int64)
     for pdf in batches:
-        rows, values = [], []
-        for at, norm in enumerate(pdf["norm"]):
-            g = shingles.grams(norm)
-            if len(g):
-                rows.append(at)
-                values.append(pool(g))
-        out = pdf.iloc[rows][["rec_table", "class_id"]].copy()
-        if rows:
-            v = np.stack(values)
+        # a few hundred texts at a time: each has some two hundred keys
+        for at in range(0, len(pdf), 512):
+            part = pdf.iloc[at : at + 512]
+            sets = [shingles.grams(norm) for norm in part["norm"]]
+            rows = [i for i, g in enumerate(sets) if len(g)]
+            if not rows:
+                continue
+            v = np.stack([pool(sets[i]) for i in rows])
             bits = shingles.one_bits(v)
             words = (bits[:, layout].astype(np.int64) * weights).sum(axis=2)
             codes, there = golay.near_codewords(words)
-            stem = np.zeros((len(rows), SEGMENTS), np.uint64)
+            # the table's name is part of every key
+            tables = {t: np.uint64(xxhash.xxh3_64_intdigest(t)) for t in part["rec_table"].unique()}
+            stem = np.array([tables[t] for t in part["rec_table"].iloc[rows]], np.uint64)[:, None] + np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for j in range(STEM):
-                stem = shingles.mix64(stem + v[:, j : SEGMENTS * STEM : STEM].astype(np.uint64) + np.uint64(j + 1))
-            stem += np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                stem = shingles.mix64(stem + v[:, j : SEGMENTS * STEM : STEM].astype(np.uint64))
             keys = shingles.mix64(stem[:, :, None] + codes.astype(np.uint64)).view(np.int64)
             packed = np.packbits(bits[:, :128], axis=1).view(np.int64)
-            out["f0"], out["f1"] = packed[:, 0], packed[:, 1]
-            out["keys"] = [k[t] for k, t in zip(keys, there)]
-        else:
-            out["f0"] = out["f1"] = pd.Series(dtype="int64")
-            out["keys"] = pd.Series(dtype=object)
-        yield out
+            many = there.sum(axis=(1, 2))
+            yield pd.DataFrame({"key": keys[there], "n": np.repeat(part["n"].to_numpy()[rows], many), "f0": np.repeat(packed[:, 0], many), "f1": np.repeat(packed[:, 1], many)})
+
+
+def _apart(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    # of a negative number bitwise_count would count the bits of its absolute value
+    return np.bitwise_count((f ^ g).view(np.uint64)).sum(axis=-1)
+
+
+def _in_runs(limit: int):
+    """Pairs of rows (key, n, f0, f1), ordered by key, that share a key and are few bits apart; rows of longer runs are passed on as hot."""
+    names = ["hot", "a", "b", "key", "f0", "f1"]
+
+    def rows_of(hot: bool, a, b, key, f) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), *(pa.array(x, pa.int64()) for x in (a, b, key, np.ascontiguousarray(f[:, 0]), np.ascontiguousarray(f[:, 1])))], names=names)
+
+    def told(key, n, f):
+        """The runs of whole keys: their pairs, and the rows of those that are too long."""
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
+        size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+        long = size > limit
+        if long.any():
+            yield rows_of(True, n[long], n[long], key[long], f[long])
+            key, n, f = key[~long], n[~long], f[~long]
+        at, step = np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            near = at[_apart(f[at], f[at + step]) <= MAX_BITS]
+            if len(near):
+                x, y = n[near], n[near + step]
+                yield rows_of(False, np.minimum(x, y), np.maximum(x, y), np.zeros_like(x), np.zeros((len(x), 2), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64)]
+        hot = None
+        for b in batches:
+            key, n = b.column("key").to_numpy(), b.column("n").to_numpy()
+            f = np.stack([b.column("f0").to_numpy(), b.column("f1").to_numpy()], axis=1)
+            if hot is not None:
+                k = int(np.searchsorted(key, hot, "right"))
+                yield rows_of(True, n[:k], n[:k], key[:k], f[:k])
+                key, n, f = key[k:], n[k:], f[k:]
+                if not len(key):
+                    continue
+                hot = None
+            held = [np.concatenate(x) for x in zip(held, (key, n, f))]
+            # the last run may go on in the next batch
+            cut_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield from told(*(x[:cut_at] for x in held))
+            held = [x[cut_at:] for x in held]
+            if len(held[0]) > limit:
+                hot = held[0][0]
+                yield rows_of(True, held[1], held[1], held[0], held[2])
+                held = [x[:0] for x in held]
+        yield from told(*held)
+
+    return run
+
+
+def _in_blocks(table: pa.Table) -> pa.Table:
+    """Pairs of a pair of blocks of one hot key."""
+    side, n = table.column("side").to_numpy(), table.column("a").to_numpy()
+    f = np.stack([table.column("f0").to_numpy(), table.column("f1").to_numpy()], axis=1)
+    left = np.flatnonzero(side <= 1)
+    right = left if (side == 0).any() else np.flatnonzero(side == 2)
+    a, b = [], []
+    for i in left:
+        near = right[_apart(f[i], f[right]) <= MAX_BITS]
+        x, y = np.minimum(n[i], n[near]), np.maximum(n[i], n[near])
+        keep = x < y if right is not left else n[i] < n[near]
+        a.append(x[keep]), b.append(y[keep])
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def near_pairs(keyed: DataFrame, limit: int = RUN) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the numbers of ``keyed`` (key, n, f0, f1) that share a key and differ in at most MAX_BITS bits."""
+    out = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_in_runs(limit), "hot boolean, a bigint, b bigint, key bigint, f0 bigint, f1 bigint"))
+    hot = out.filter("hot").drop("hot", "b")
+    parts = hot.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    wide = shuffled(hot, parts, "key").withColumn("k", F.pmod(F.xxhash64("a"), "parts").cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("k") == F.col("m"), 0).when(F.col("k") < F.col("m"), 1).otherwise(2).cast("int")
+    blocks = wide.select("a", "f0", "f1", "key", F.least("k", "m").alias("x"), F.greatest("k", "m").alias("y"), side.alias("side"))
+    rest = blocks.groupBy("key", "x", "y").applyInArrow(_in_blocks, "a bigint, b bigint")
+    return out.filter("NOT hot AND a < b").select("a", "b").unionByName(rest).distinct()
 
 
 def classes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,17 +181,14 @@ def classes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def alike_classes(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs of classes of one table that are alike: (rec_table, class_a, class_b, similarity), class_a < class_b."""
-    prints = cut(spread(classes).mapInPandas(_fingerprints, "rec_table string, class_id bigint, f0 bigint, f1 bigint, keys array<bigint>"))
-    keyed = prints.select("rec_table", F.explode("keys").alias("key"), "class_id", "f0", "f1")
-    a = keyed.select("rec_table", "key", F.col("class_id").alias("class_a"), F.col("f0").alias("a0"), F.col("f1").alias("a1"))
-    b = keyed.select("rec_table", "key", F.col("class_id").alias("class_b"), F.col("f0").alias("b0"), F.col("f1").alias("b1"))
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    near = shuffled(a, b, ["rec_table", "key"]).filter((F.col("class_a") < F.col("class_b")) & (apart <= MAX_BITS))
-    pairs = near.select("rec_table", "class_a", "class_b").distinct()
-    x = classes.select("rec_table", F.col("class_id").alias("class_a"), F.col("norm").alias("norm_a"))
-    y = classes.select("rec_table", F.col("class_id").alias("class_b"), F.col("norm").alias("norm_b"))
-    told = shuffled(shuffled(pairs, x, ["rec_table", "class_a"]), y, ["rec_table", "class_b"])
-    return told.withColumn("similarity", shingles.similarity_of("norm_a", "norm_b")).filter(F.col("similarity") >= similarity).select("rec_table", "class_a", "class_b", "similarity")
+    # numbers are given once and written, so that they stay
+    numbered = cut(spread(classes).withColumn("n", F.monotonically_increasing_id()))
+    pairs = near_pairs(numbered.mapInPandas(_fingerprints, "key bigint, n bigint, f0 bigint, f1 bigint"))
+    x = numbered.select(F.col("n").alias("a"), "rec_table", F.col("class_id").alias("ca"), F.col("norm").alias("norm_a"))
+    y = numbered.select(F.col("n").alias("b"), F.col("rec_table").alias("table_b"), F.col("class_id").alias("cb"), F.col("norm").alias("norm_b"))
+    told = shuffled(shuffled(pairs, x, "a"), y, "b").filter(F.col("rec_table") == F.col("table_b"))
+    told = told.withColumn("similarity", shingles.similarity_of("norm_a", "norm_b")).filter(F.col("similarity") >= similarity)
+    return told.select("rec_table", F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "similarity")
 
 
 def alike_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
