@@ -78,6 +78,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_few(df: DataFrame) -> DataFrame:
+    """``df``, spread over the cores if it is a scan of fewer splits than there are cores: small files, much work a row.
+
+    A table that is large enough to matter has more splits and is read where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
