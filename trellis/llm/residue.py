@@ -1,15 +1,25 @@
 """Template residue, filler, error pages and notices on scripts (problem 10).
 
-Lines that may be messages are masked (numbers, paths, ids) and put into a prefix
-tree of fixed depth: first by the number of words, then by the first words. In a
-leaf the masked lines are merged into templates, position by position. A template
-is classified once and its verdict goes back to every line it covers. Slots
-left unfilled in running text are found in the records themselves, and filler by
+All lines of all documents are masked (numbers, paths, ids) and put into a prefix
+tree of fixed depth: by the number of their tokens and the first DEPTH of them. In a leaf
+lines that agree in most places are one template. A template is classified once: what its
+lines say is told by seeds, patterns of known messages, and the template is a message if at
+least half of its lines are. The verdict goes to every line of the template, so a line that
+no pattern knows is a message if it stands among messages of its make, and a line that
+looks like one is none if it stands among many that don't.
+
+A second round goes by company: a line that no seed and no template knows, but which stands
+in at least COMPANY documents, nearly always in ones that hold little else than messages, is
+one as well.
+
+Slots left unfilled in running text are found in the records themselves, and filler by
 its words: pseudo-Latin, keyboard runs and repeated sentences have no function words
-or no variety.
-
-A document is a case if it has an unfilled slot outside code and quotes, or if
+or no variety. A document is a case if it has an unfilled slot outside code and quotes, or if
 messages and filler make up at least half of it, menu lines not counted.
+
+Scale: a text is read once. Distinct masked lines are put in order by leaf, and a task goes
+through them with the templates of one leaf in memory; lines of leaves without a seed end
+there. What is joined back to the documents are the hashes of message lines.
 """
 
 from __future__ import annotations
@@ -21,15 +31,19 @@ from functools import cache
 from re import _parser
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.session import cut
+from trellis.session import cut, scratch_table, shuffled, spread_few
 
-DEPTH, DEEP, LEAF = 3, 8, 5000
-MERGE = 0.6
+DEPTH, MERGE = 3, 0.6
+#: Lines of a leaf that are kept until it is known whether it has a seed; those of longer leaves are all passed on.
+HELD = 20_000
+COMPANY, NEARLY = 3, 0.9
 MOSTLY = 0.5
 SALT = 8
 
@@ -56,6 +70,8 @@ _TRIGGER = re.compile(
     r"|\[(?:your|my|insert|enter|add|fill in|tbd|todo|placeholder)\b|(?:here|compléter|remplir|fügen|füllen|tragen|gänzen|completar|rellenar|insertar|填写|补充|待定)\]",
     re.I,
 )
+#: Every trigger has one of these.
+_SIGN = re.compile(r"[{<%$@#_…【\[\]]|XX|xx|Xx|xX|\.\.\.")
 _QUOTED = re.compile("[\"'“”„«»‘’「」`]")
 
 _CODES = r"(?:4\d\d|5\d\d|<\*>)"
@@ -203,8 +219,8 @@ _FUNCTION = frozenset(
 _MASH = frozenset("asdf qwer qwerty jkl jklö hjkl zxcv yxcv foo bar baz qux blah bla xxx xyz test testing lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
 _LATIN = regex.compile(r"[\p{Latin}]+(?:['’-][\p{Latin}]+)*")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_PIECE = regex.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])|\n+")
-_NUMBER = regex.compile(r"\d+")
+_PIECE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])|\n+")
+_NUMBER = re.compile(r"\d+")
 
 
 _LETTERS = re.compile(r"[^\W_]+")
@@ -220,7 +236,7 @@ def _size(piece: str) -> int:
 
 def has_slot(text: str) -> bool:
     """Whether an unfilled slot stands in running text: outside code, and not quoted as such."""
-    if not _TRIGGER.search(text):
+    if not _SIGN.search(text) or not _TRIGGER.search(text):
         return False
     for m in SLOT.finditer(text):
         s = m[0]
@@ -239,17 +255,20 @@ def has_slot(text: str) -> bool:
 
 def mask(line: str) -> str:
     """The line with what varies replaced: digits within words, numbers, paths."""
-    return " ".join("<*>" if "/" in w and len(w) > 3 and not w.startswith("<") else _NUMBER.sub("<*>", w) for w in line.split())
+    words = line.split()
+    if "/" in line:
+        words = ["<*>" if "/" in w and len(w) > 3 and not w.startswith("<") else w for w in words]
+    return _NUMBER.sub("<*>", " ".join(words))
 
 
 def read_document(text: str) -> dict:
-    """Word counts of a document: all, frame lines, filler; whether it has a slot; and the lines that may be messages."""
+    """Word counts of a document: all, frame lines, filler; whether it has a slot; and its other lines, masked."""
     t = text.replace("\r\n", "\n").replace("\r", "\n")
     prose = _CODE.sub(" \x01 ", t) if "`" in t or "~~~" in t or "<" in t else t
     pieces = [p.strip() for p in _PIECE.split(prose)]
     whole = _size(t)
     code = whole - _size(prose)
-    frame = filler = ordinary = 0
+    frame = filler = 0
     lines: dict[str, list[int]] = {}
     repeats = Counter(p for p in pieces if p)
     many = sum(1 for p in pieces if p)
@@ -269,105 +288,157 @@ def read_document(text: str) -> dict:
             filler += n
         else:
             odd = n if len(words) >= 3 and len(words) * 2 >= n and not any(w in _FUNCTION for w in words) else 0
-            if may_be_message(p):
-                got = lines.setdefault(mask(p), [0, 0])
-                got[0] += n
-                got[1] += odd
-            else:
-                ordinary += odd  # filler only if the whole document is of this kind
-    return {"words": whole, "frame": frame, "filler": filler, "odd": ordinary, "code": code, "slot": has_slot(prose), "lines": [(k, v[0]) for k, v in lines.items()], "odds": [v[1] for v in lines.values()]}
+            got = lines.setdefault(mask(p), [0, 0])
+            got[0] += n
+            got[1] += odd
+    return {"words": whole, "frame": frame, "filler": filler, "odd": 0, "code": code, "slot": has_slot(prose), "lines": [(k, v[0]) for k, v in lines.items()], "odds": [v[1] for v in lines.values()]}
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def leaf_of(masked: str) -> int:
+    """The leaf of a masked line: the number of its tokens and the first DEPTH of them."""
+    tokens = tokens_of(masked)
+    return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}")
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [read_document(t) for t in pdf["text"]]
         for g in got:
-            g["odd"] += sum(g["odds"])  # those of lines that turn out to be messages are taken off again
+            g["odd"] = sum(g["odds"])  # those of lines that turn out to be messages are taken off again
         yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], **{k: [g[k] for g in got] for k in ("words", "frame", "filler", "odd", "code", "slot")}, "lines": [[{"masked": a, "size": b, "odd": c} for (a, b), c in zip(g["lines"], g["odds"])] for g in got]}
+            {
+                "doc_id": pdf["doc_id"],
+                **{k: [g[k] for g in got] for k in ("words", "frame", "filler", "odd", "code", "slot")},
+                "lines": [[{"h": _hash(a), "leaf": leaf_of(a), "masked": a, "size": b, "odd": c} for (a, b), c in zip(g["lines"], g["odds"])] for g in got],
+            }
         )
 
 
-SCAN = "doc_id bigint, words int, frame int, filler int, odd int, code int, slot boolean, lines array<struct<masked:string,size:int,odd:int>>"
+SCAN = "doc_id bigint, words int, frame int, filler int, odd int, code int, slot boolean, lines array<struct<h:bigint,leaf:bigint,masked:string,size:int,odd:int>>"
 
 
-def merge_leaf(lines: list[str], share: float = MERGE) -> dict[str, str]:
-    """Template of each masked line of a leaf: lines with equal words in at least ``share`` of the places are one.
+def tokens_of(masked: str) -> list[str]:
+    """The tokens by which a line goes into the tree: its words, Han characters one by one."""
+    return masked.split(" ") if masked.isascii() else _HAN.sub(r" \g<0> ", masked).split()
 
-    Lines are taken in order, so the result doesn't depend on the partitions.
-    """
-    templates: list[list[str]] = []
-    took: list[tuple[str, int]] = []
-    for line in sorted(lines):
-        words = line.split(" ")
-        best, most = -1, 0.0
-        for k, t in enumerate(templates):
-            same = sum(a == b for a, b in zip(t, words)) / len(words)
-            if same > most:
-                best, most = k, same
-        if best >= 0 and most >= share:
-            templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], words)]
-        else:
-            templates.append(words)
-            best = len(templates) - 1
-        took.append((line, best))
-    return {line: " ".join(templates[k]) for line, k in took}
 
+class Leaf:
+    """Templates of lines with equally many tokens and the same first ones."""
 
-def verdict(template: str, line: str) -> str | None:
-    """error, notice or filler; null for an ordinary line. The template decides; where merging has masked its words, its line does."""
-    for text in (template, line):
-        for kind, pattern in MESSAGES:
-            if pattern.match(text):
-                return kind
-    return None
+    def __init__(self, n: int, share: float = MERGE):
+        self.n, self.share = n, share
+        self.known: dict[str, int] = {"<*>": -1}
+        self.rows = np.zeros((4, n), np.int32)
+        self.count = 0
 
+    def add(self, tokens: list[str]) -> int:
+        """The template of a line: the one that agrees in most places, the first of equals, if that is a share of MERGE; else a new one."""
+        ids = np.array([self.known.setdefault(t, len(self.known)) for t in tokens], np.int32)
+        if self.count:
+            same = (self.rows[: self.count] == ids).sum(axis=1)
+            best = int(same.argmax())
+            if same[best] >= self.share * self.n:
+                self.rows[best][self.rows[best] != ids] = -1
+                return best
+        if self.count == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.count] = ids
+        self.count += 1
+        return self.count - 1
 
-def _classify(pdf: pd.DataFrame) -> pd.DataFrame:
-    merged = merge_leaf(pdf["masked"].tolist())
-    known: dict[tuple[str, str], str | None] = {}
-    out = []
-    for line, t in merged.items():
-        k = verdict(t, line)
-        out.append((line, t, k))
-    return pd.DataFrame(out, columns=["masked", "template", "kind"])
 
+def verdict(line: str) -> str | None:
+    """What the seeds say of a masked line: error, notice or filler; null for any other."""
+    if not may_be_message(line):
+        return None
+    return next((kind for kind, pattern in MESSAGES if pattern.match(line)), None)
 
-def templates_of(lines: DataFrame) -> DataFrame:
-    """(masked, template, kind) of distinct masked lines.
 
-    A leaf is the number of words and the first DEPTH of them; a leaf with more than LEAF lines
-    goes by the first DEEP words, and what is still larger by the whole line, in which case
-    every line is its own template.
-    """
-    one = lines.select("masked").distinct()
-    words = F.split("masked", " ")
-    keyed = one.select("masked", F.size(words).alias("n"), F.array_join(F.slice(words, 1, DEPTH), " ").alias("p1"), F.array_join(F.slice(words, 1, DEEP), " ").alias("p2"))
-    c1 = keyed.groupBy("n", "p1").agg(F.count("*").alias("c1"))
-    c2 = keyed.groupBy("n", "p1", "p2").agg(F.count("*").alias("c2"))
-    sized = keyed.join(c1, ["n", "p1"]).join(c2, ["n", "p1", "p2"])
-    leaf = F.when(F.col("c1") <= LEAF, F.col("p1")).when(F.col("c2") <= LEAF, F.col("p2")).otherwise(F.col("masked"))
+PLACED = "leaf bigint, template int, h bigint, kind string"
+
+
+def _mine(held_most: int = HELD):
+    """Lines (leaf, h, masked), ordered by leaf and line, with the template of each and what the seeds say of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tree, held, seeded = None, None, [], False
+        for pdf in batches:
+            out: list[tuple] = []
+            for leaf, h, masked in zip(pdf["leaf"], pdf["h"], pdf["masked"]):
+                tokens = tokens_of(masked)
+                if leaf != at or len(tokens) != tree.n:
+                    if seeded:
+                        out += held
+                    at, tree, held, seeded = leaf, Leaf(len(tokens)), [], False
+                kind = verdict(masked)
+                held.append((leaf, tree.add(tokens), h, kind))
+                seeded = seeded or kind is not None
+                if len(held) > held_most:
+                    out += held
+                    held, seeded = [], True
+            yield pd.DataFrame(out, columns=["leaf", "template", "h", "kind"])
+        yield pd.DataFrame(held if seeded else [], columns=["leaf", "template", "h", "kind"])
+
+    return run
+
+
+def template_verdicts(lines: DataFrame) -> DataFrame:
+    """(h, kind) of the masked lines whose template is a message; ``lines`` has (h, leaf, masked), repeated or not."""
+    one = lines.groupBy("leaf", "h").agg(F.first("masked").alias("masked"))
     # leaves are small in bytes but not in work, so they are spread by hand and not put together by AQE
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sized.select("masked", "n", leaf.alias("leaf")).repartition(tasks, "n", "leaf").groupBy("n", "leaf").applyInPandas(_classify, "masked string, template string, kind string")
+    placed = cut(one.repartition(tasks, "leaf").sortWithinPartitions("leaf", "masked").mapInPandas(_mine(), PLACED))
+    votes = placed.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.count("kind").alias("seeds"), F.mode("kind", True).alias("says"))
+    told = votes.filter((F.col("seeds") > 0) & (F.col("seeds") * 2 >= F.col("n"))).select("leaf", "template", "says")
+    return shuffled(placed.select("leaf", "template", "h"), told, ["leaf", "template"]).groupBy("h").agg(F.min("says").alias("kind"))
+
+
+def _sums(scanned: DataFrame, lines: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Sizes of each document in words by kind: its own words, messages, filler, and what is neither."""
+    many = kinds.select("h", "kind", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    hit = shuffled(lines.withColumn("salt", F.pmod("doc_id", F.lit(SALT)).cast("int")), many, ["h", "salt"])
+    sums = hit.groupBy("doc_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(k) for k in ("error", "notice", "filler")], F.sum("told").alias("told"))
+    all_ = shuffled(scanned.drop("lines").withColumnRenamed("filler", "mash"), sums, "doc_id", "left").fillna(0, ["error", "notice", "filler", "told"]).withColumn("odd", F.col("odd") - F.col("told"))
+    own = F.col("words") - F.col("frame")
+    odd = F.when(F.col("odd") * 10 >= (own - F.col("code")) * 9, F.col("odd")).when((F.col("filler") + F.col("mash") > 0), F.col("odd")).otherwise(0)
+    wide = all_.withColumn("filler", F.col("filler") + F.col("mash") + F.when(F.col("odd") >= 8, odd).otherwise(0))
+    return wide.withColumn("own", own).withColumn("bad", F.col("error") + F.col("notice") + F.col("filler"))
+
+
+def by_company(lines: DataFrame, kinds: DataFrame, sums: DataFrame, mostly: float = MOSTLY) -> DataFrame:
+    """(h, kind) of unknown lines that stand in at least COMPANY documents of messages, whose kind they take, and hardly ever in ordinary text.
+
+    ``sums`` as from ``_sums``. A document that consists mostly of the line itself says nothing.
+    """
+    known = F.col("error") + F.col("notice")
+    main = F.when((known > 0) & (known >= F.col("own") * mostly), F.when(F.col("error") >= F.col("notice"), "error").otherwise("notice"))
+    docs = sums.select("doc_id", "own", main.alias("main"))
+    there = shuffled(lines.select("doc_id", "h", "size"), docs.filter("main IS NOT NULL"), "doc_id")
+    new = shuffled(there, kinds.select("h"), "h", "left_anti").groupBy("h").agg(F.count("*").alias("c"), F.mode("main", True).alias("kind")).filter(F.col("c") >= COMPANY)
+    again = shuffled(lines.select("doc_id", "h", "size"), new.select("h"), "h", "left_semi")
+    against = shuffled(again, docs.filter("main IS NULL"), "doc_id").filter(F.col("size") < F.col("own") * mostly).groupBy("h").agg(F.count("*").alias("n"))
+    both = shuffled(new, against, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.filter(F.col("c") >= (F.col("c") + F.col("n")) * NEARLY).select("h", "kind")
 
 
 def residue(documents: DataFrame, mostly: float = MOSTLY) -> DataFrame:
     """Documents to be excluded: (doc_id, slot, error, notice, filler, words), sizes in words.
 
     Null, empty and blank texts are no cases, nor are texts of frame lines only. Repeated
-    rows count once. Further columns are ignored.
+    rows count once; of an id with several texts the first in order counts. Further columns
+    are ignored.
     """
     docs = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     # texts are read where they lie; only what was read of them is shuffled
-    scanned = cut(docs.mapInPandas(_scan, SCAN).dropDuplicates(["doc_id"]))
-    lines = scanned.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.masked", "l.size", F.col("l.odd").alias("told"))
-    kinds = templates_of(lines).filter(F.col("kind").isNotNull()).select("masked", "kind", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    hit = lines.withColumn("salt", F.pmod("doc_id", F.lit(SALT)).cast("int")).join(kinds, ["masked", "salt"])
-    sums = hit.groupBy("doc_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(k) for k in ("error", "notice", "filler")], F.sum("told").alias("told"))
-    all_ = scanned.drop("lines").withColumnRenamed("filler", "mash").join(sums, "doc_id", "left").fillna(0, ["error", "notice", "filler", "told"]).withColumn("odd", F.col("odd") - F.col("told"))
-    own = F.col("words") - F.col("frame")
-    odd = F.when(F.col("odd") * 10 >= (own - F.col("code")) * 9, F.col("odd")).when((F.col("filler") + F.col("mash") > 0), F.col("odd")).otherwise(0)
-    wide = all_.withColumn("filler", F.col("filler") + F.col("mash") + F.when(F.col("odd") >= 8, odd).otherwise(0))
-    bad = F.col("error") + F.col("notice") + F.col("filler")
-    return wide.filter(F.col("slot") | ((bad > 0) & (bad >= own * mostly))).select("doc_id", "slot", F.col("error").cast("bigint").alias("error"), F.col("notice").cast("bigint").alias("notice"), F.col("filler").cast("bigint").alias("filler"), F.col("words").cast("bigint").alias("words"))
+    read = spread_few(docs).mapInPandas(_scan, SCAN)
+    scanned = scratch_table(read.groupBy("doc_id").agg(F.min(F.struct("words", "frame", "filler", "odd", "code", "slot", "lines")).alias("v")).select("doc_id", "v.*"), "residue")
+    lines = scanned.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.h", "l.leaf", "l.masked", "l.size", F.col("l.odd").alias("told"))
+    sized = lines.select("doc_id", "h", "size", "told")
+    kinds = cut(template_verdicts(lines.select("h", "leaf", "masked")))
+    kinds = cut(kinds.unionByName(by_company(sized, kinds, _sums(scanned, sized, kinds), mostly)))
+    told = _sums(scanned, sized, kinds)
+    return told.filter(F.col("slot") | ((F.col("bad") > 0) & (F.col("bad") >= F.col("own") * mostly))).select("doc_id", "slot", *[F.col(c).cast("bigint").alias(c) for c in ("error", "notice", "filler", "words")])
