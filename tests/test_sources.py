@@ -93,5 +93,5 @@ def test_code_graph(spark):
     }
     inh = {(r["src"], r["dst"]) for r in edges.filter("relation = 'inherits'").collect()}
     assert inh == {("code::pkg/core.py::Derived", "code::pkg/core.py::Base")}
-    f = {r["flow"] for r in code.flows(defs, edges.filter("relation = 'calls'").select("src", "dst")).collect()}
+    f = {r["flow"] for r in code.flows(defs, edges.filter("relation = 'calls'").select("src", "dst", "pos")).collect()}
     assert f == {"code::pkg/core.py::main"}

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from trellis.session import cut
 
-ENTRY_NAMES = ("main", "run", "serve", "cli", "start", "app", "execute", "handle")
-ENTRY_PREFIXES = ("handle_", "on_", "run_", "cmd_", "do_", "process_", "serve_")
-MAX_BASES = 6
+# fixed values: names of functions that look like entry points
+ENTRY_NAMES = ("main", "run", "start", "serve", "execute", "dispatch", "handle", "process", "boot", "launch", "init", "setup")
+ENTRY_PREFIXES = ("on_", "handle_", "process_", "run_", "dispatch_")
 
 DEF = "path string, id string, parent string, kind string, label string, signature string, parameters array<string>, returns string, is_async boolean, docstring string, bases array<string>, line_start int, line_end int"
 FACT = "path string, fact string, owner string, name string, target string, symbol string, pos int"
@@ -98,9 +98,8 @@ class _Reader:
             node, id_, parent, kind, node.name, is_async=isinstance(node, ast.AsyncFunctionDef), parameters=[a.arg for a in args],
             returns=ast.unparse(node.returns) if node.returns else None, signature=f"{'async ' if isinstance(node, ast.AsyncFunctionDef) else ''}def {node.name}({ast.unparse(node.args)})",
         )
-        for call in ast.walk(node):
-            if not isinstance(call, ast.Call):
-                continue
+        # in the order of the text, of calls that begin together the outer one first
+        for call in sorted((x for x in ast.walk(node) if isinstance(x, ast.Call)), key=lambda x: (x.lineno, x.col_offset)):
             if isinstance(call.func, ast.Name):
                 self.fact("call", id_, call.func.id)
             elif isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Name):
@@ -154,19 +153,25 @@ def inherit_edges(defs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def ancestors(classes: DataFrame, inherits: DataFrame) -> DataFrame:
-    """(cls, ancestor, depth): each class itself and its bases breadth first, up to MAX_BASES levels."""
-    front = classes.select(F.col("id").alias("cls"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    out = front
-    for i in range(1, MAX_BASES + 1):
-        front = cut(front.join(inherits.select(F.col("src").alias("ancestor"), "dst"), "ancestor").select("cls", F.col("dst").alias("ancestor"), F.lit(i).alias("depth")).distinct())
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.groupBy("cls", "ancestor").agg(F.min("depth").alias("depth"))
+    """(cls, ancestor, depth, path): each class itself and its bases breadth first.
+
+    path are the positions of the bases on the way, so (depth, path) is the order in which a
+    search that takes bases as they are written comes by; of several ways the first counts,
+    and a line of bases that comes back to itself ends there.
+    """
+    seen = front = cut(classes.select(F.col("id").alias("cls"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")))
+    up = inherits.select(F.col("src").alias("ancestor"), F.col("dst").alias("base"), "pos")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        nxt = front.join(up, "ancestor").groupBy("cls", "base").agg(F.min(F.array_append("path", F.col("pos"))).alias("path"))
+        front = cut(nxt.select("cls", F.col("base").alias("ancestor"), F.lit(depth).alias("depth"), "path").join(seen.select("cls", "ancestor"), ["cls", "ancestor"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen
 
 
 def call_edges(defs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Resolved calls (src, dst, tier, score), the first resolution of each pair.
+    """Resolved calls (src, dst, tier, score, pos), the first resolution of each pair and where it stands.
 
     A free call goes to what its name was imported as, else to its own module; a call
     on self to the nearest class of the line of bases that has the method; one on an imported module to
@@ -183,7 +188,7 @@ def call_edges(defs: DataFrame, facts: DataFrame) -> DataFrame:
     def member(calls: DataFrame) -> DataFrame:
         """Calls with (cls, name) to the nearest ancestor's method."""
         hit = calls.join(line, "cls").join(methods, ["ancestor", "name"])
-        return hit.groupBy("owner", "pos").agg(F.min_by("dst", F.struct("depth", "ancestor")).alias("dst"))
+        return hit.groupBy("owner", "pos").agg(F.min_by("dst", F.struct("depth", "path", "dst")).alias("dst"))
 
     ext = (F.lit("EXTRACTED").alias("tier"), F.lit(1.0).alias("score"))
     inf = (F.lit("INFERRED").alias("tier"), F.lit(0.8).alias("score"))
@@ -196,8 +201,8 @@ def call_edges(defs: DataFrame, facts: DataFrame) -> DataFrame:
     d = member(attr.filter("symbol IS NOT NULL").select("owner", "pos", F.concat_ws("::", "module_id", "symbol").alias("cls"), F.col("fn").alias("name"))).select("owner", "pos", "dst", *inf)
     e = member(facts.filter("fact = 'typed_call'").withColumnRenamed("target", "type").join(one, "type").select("owner", "pos", "cls", "name")).select("owner", "pos", "dst", *inf)
     all_ = a.unionByName(b).unionByName(c).unionByName(d).unionByName(e).join(known.select("dst"), "dst", "left_semi").filter("owner <> dst")
-    first = all_.groupBy(F.col("owner").alias("src"), "dst").agg(F.min_by(F.struct("tier", "score"), "pos").alias("v"))
-    return first.select("src", "dst", "v.tier", "v.score")
+    first = all_.groupBy(F.col("owner").alias("src"), "dst").agg(F.min_by(F.struct("tier", "score", "pos"), "pos").alias("v"))
+    return first.select("src", "dst", "v.tier", "v.score", "v.pos")
 
 
 def entry_scores(defs: DataFrame, calls: DataFrame) -> DataFrame:
@@ -220,8 +225,11 @@ def entry_scores(defs: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def flows(defs: DataFrame, calls: DataFrame, least: float = 0.5, top: int = 30, max_depth: int = 8, branches: int = 5, min_steps: int = 3) -> DataFrame:
-    """(flow, step, depth) from the best entry points; flows whose steps are a strict subset of another's are dropped."""
-    w = Window.partitionBy("src").orderBy("dst")
+    """(flow, step, depth) from the best entry points; flows whose steps are a strict subset of another's are dropped.
+
+    ``calls`` are (src, dst, pos); of a function with many the first ``branches`` in its text are followed.
+    """
+    w = Window.partitionBy("src").orderBy("pos", "dst")
     steps = cut(calls.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= branches).select("src", "dst"))
     entry = entry_scores(defs, calls).filter(F.col("score") >= least).orderBy(F.desc("score"), F.desc("id")).limit(top)
     front = cut(entry.select(F.col("id").alias("flow"), F.col("id").alias("step"), F.lit(0).alias("depth")))
@@ -240,13 +248,14 @@ def flows(defs: DataFrame, calls: DataFrame, least: float = 0.5, top: int = 30,
 
 
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a Python repository."""
+    """Nodes and edges of a Python repository; pos is where a call stands, null for other edges."""
     defs, facts = parse_files(files)
     ext = (F.lit("EXTRACTED").alias("tier"), F.lit(1.0).alias("score"))
-    contains = defs.filter("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("relation"), *ext)
+    none = F.lit(None).cast("int").alias("pos")
+    contains = defs.filter("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("relation"), *ext, none)
     edges = (
-        contains.unionByName(import_edges(defs, facts).select("src", "dst", F.lit("imports").alias("relation"), *ext))
-        .unionByName(inherit_edges(defs, facts).select("src", "dst", F.lit("inherits").alias("relation"), *ext))
-        .unionByName(call_edges(defs, facts).select("src", "dst", F.lit("calls").alias("relation"), "tier", "score"))
+        contains.unionByName(import_edges(defs, facts).select("src", "dst", F.lit("imports").alias("relation"), *ext, none))
+        .unionByName(inherit_edges(defs, facts).select("src", "dst", F.lit("inherits").alias("relation"), *ext, none))
+        .unionByName(call_edges(defs, facts).select("src", "dst", F.lit("calls").alias("relation"), "tier", "score", "pos"))
     )
     return defs, edges

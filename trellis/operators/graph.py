@@ -122,6 +122,14 @@ def migrate_lifecycle(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.coalesce(new, F.col("lifecycle")).alias("lifecycle"), new.isNull().alias("blocked"))
 
 
+def migrate_all(edges: DataFrame) -> DataFrame:
+    """``edges`` with the lifecycles of ``migrate_lifecycle``, or as they are if a single one is blocked: all or nothing."""
+    p = F.col("source_pass")
+    new = F.when(p.isin("ast", "code"), "deterministic").when(p == "conv", "anchored")
+    blocked = edges.agg(F.coalesce(F.max(new.isNull()), F.lit(False)).alias("_blocked"))
+    return edges.crossJoin(F.broadcast(blocked)).withColumn("lifecycle", F.when(F.col("_blocked"), F.col("lifecycle")).otherwise(new)).drop("_blocked")  # blocked is one row
+
+
 def explain(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     """The edges of one node with the labels of the other ends."""
     out = edges.filter(F.col("src") == node_id).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "relation", "tier", "score")

@@ -14,6 +14,12 @@ from trellis.functions import text
 from trellis.session import cut
 
 MIN_SYMBOL = 5
+# fixed values: labels too generic to be told from plain words
+GENERIC = (
+    "False None True class async yield raise while break import return lambda assert global except finally continue delete open type list dict tuple set str int float bool "
+    "bytes iter next sorted range print super input format round enumerate filter hasattr getattr setattr delattr isinstance issubclass property staticmethod classmethod "
+    "NotImplemented Ellipsis value error index count items keys values result output logger logging config settings data text path name label model"
+).split()
 #: Vectors in a block of similar_pairs.
 BLOCK = 12_000
 
@@ -32,9 +38,11 @@ def wikilinks(docs: DataFrame, id_col: str = "id", body: str = "content") -> Dat
 def name_index(nodes: DataFrame) -> DataFrame:
     """(key, id): lower-case labels, aliases and knowledge ids, each only if one document holds it in the highest tier.
 
-    Tier 3 is a knowledge id, 1 a file under knowledge/, 0 any other.
+    Tier 3 is a knowledge id, 2 the mark ``canonical`` (a column that may be missing), 1 a file
+    under knowledge/, 0 any other.
     """
-    tier = F.when(F.col("knowledge_id").isNotNull(), 3).when(F.array_contains(F.split("source_file", "/"), "knowledge"), 1).otherwise(0)
+    marked = F.col("canonical") if "canonical" in nodes.columns else F.lit(False)
+    tier = F.when(F.col("knowledge_id").isNotNull(), 3).when(marked, 2).when(F.array_contains(F.split("source_file", "/"), "knowledge"), 1).otherwise(0)
     keys = F.concat(F.array("label", "knowledge_id"), F.coalesce("aliases", F.array().cast("array<string>")))
     flat = nodes.select("id", F.coalesce(tier, F.lit(0)).alias("tier"), F.explode(keys).alias("key")).filter(F.col("key").isNotNull()).select("id", "tier", F.lower("key").alias("key")).distinct()
     best = flat.groupBy("key").agg(F.max("tier").alias("tier"))
@@ -72,26 +80,47 @@ def shared_tag_bridges(nodes: DataFrame) -> DataFrame:
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
-    """(symbol, n, id) of code labels that can be mentioned: of at least five characters; id is the least of n."""
+    """(symbol, id) of all code labels that can be mentioned: of at least five characters and not among the generic names."""
     code = nodes.filter((F.col("namespace") == "code") & F.col("kind").isin("function", "class", "module"))
-    named = code.select(F.trim("label").alias("symbol"), "id").filter(F.length("symbol") >= MIN_SYMBOL)
-    return named.groupBy("symbol").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    named = code.select(F.trim("label").alias("symbol"), "id").filter((F.length("symbol") >= MIN_SYMBOL) & ~F.col("symbol").isin(*GENERIC))
+    return named.distinct()
 
 
-def symbol_links(nodes: DataFrame) -> DataFrame:
-    """Mentions of code symbols in notes: (src, symbol, dst, tier, score, weight, occurrences).
+def symbol_links(notes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Mentions of code symbols in notes (id, content): (src, symbol, dst, tier, score, weight, occurrences).
 
-    Notes are cut into words once and joined with the symbols by equality; a symbol of
-    one node is INFERRED .9, one of several AMBIGUOUS .2 with the least of them.
+    A wikilink to the symbol of one node is EXTRACTED 1.0, a word that is one INFERRED .9; where
+    several nodes bear the symbol there is a link to each of them, AMBIGUOUS .2. Of a link and
+    words that lead to the same node the link counts. Notes are cut into words once and
+    joined with the symbols by equality, so only symbols that are one word are found as words.
     """
-    notes = nodes.filter((F.col("namespace") != "code") & F.col("content").isNotNull())
-    words = notes.select(F.col("id").alias("src"), F.explode(text.all_matches(F.col("content"), text.WORD)).alias("symbol")).groupBy("src", "symbol").agg(F.count("*").alias("occurrences"))
-    hit = words.join(symbols(nodes).withColumnRenamed("id", "dst"), "symbol")
-    one = F.col("n") == 1
-    return hit.select(
-        "src", "symbol", "dst", F.when(one, "INFERRED").otherwise("AMBIGUOUS").alias("tier"), F.when(one, 0.9).otherwise(0.2).alias("score"),
-        F.least(F.lit(1.0), F.round(F.lit(0.5) + F.lit(0.1) * F.col("occurrences"), 6)).alias("weight"), "occurrences",
+    known = symbols(nodes)
+    many = known.groupBy("symbol").agg(F.count("*").alias("n"))
+    told = known.withColumnRenamed("id", "dst").join(many, "symbol")
+    texts = notes.filter(F.col("content").isNotNull()).select(F.col("id").alias("src"), "content")
+    target = F.trim(F.regexp_extract("raw", r"\[\[([^\]|]+)", 1))
+    linked = texts.select("src", F.explode(text.all_matches(F.col("content"), r"\[\[[^\]|]+(?:\|[^\]]+)?\]\]")).alias("raw")).select("src", target.alias("symbol"), F.lit(0).alias("by"))
+    words = texts.select("src", F.explode(text.all_matches(F.col("content"), text.WORD)).alias("symbol"), F.lit(1).alias("by"))
+    hit = linked.unionByName(words).groupBy("src", "symbol", "by").agg(F.count("*").alias("occurrences")).join(told, "symbol")
+    one, link = F.col("n") == 1, F.col("by") == 0
+    weight = F.when(link, 1.0).otherwise(F.least(F.lit(1.0), F.round(F.lit(0.5) + F.lit(0.1) * F.col("occurrences"), 6)))
+    graded = hit.select(
+        "src", "symbol", "dst", "by", F.when(~one, "AMBIGUOUS").when(link, "EXTRACTED").otherwise("INFERRED").alias("tier"), F.when(~one, 0.2).when(link, 1.0).otherwise(0.9).alias("score"), weight.alias("weight"), "occurrences",
     )
+    rest = ("tier", "score", "weight", "occurrences")
+    return graded.groupBy("src", "symbol", "dst").agg(F.min_by(F.struct(*rest), "by").alias("v")).select("src", "symbol", "dst", *[F.col(f"v.{c}").alias(c) for c in rest])
+
+
+def relink_symbols(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """``edges`` with their mentions made anew: old ones go, but those that are anchored stay and are not overwritten."""
+    mention = F.coalesce(F.col("relation") == "mentions_symbol", F.lit(False))
+    anchored = F.coalesce(F.lower("lifecycle") == "anchored", F.lit(False))
+    kept = edges.filter(~mention | anchored)
+    new = links.select("src", "dst", F.lit("mentions_symbol").alias("relation"), "tier", "score", "weight", F.lit("ast").alias("source_pass"), F.lit("deterministic").alias("lifecycle"))
+    fixed = kept.filter(mention).select("src", "dst")
+    # an edge is one per pair of nodes: the mention replaces another relation, an anchored mention stays
+    fresh = new.join(fixed, ["src", "dst"], "left_anti")
+    return kept.join(fresh.select("src", "dst"), ["src", "dst"], "left_anti").select(*new.columns).unionByName(fresh)
 
 
 def drift(nodes: DataFrame, edges: DataFrame, relation: str = "mentions_symbol") -> DataFrame:

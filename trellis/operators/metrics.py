@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +114,26 @@ def retrieval_iou(hits: DataFrame, chunks: DataFrame, id_col: str, body: str, re
     return union.join(both, "query_id", "left").select("query_id", F.round(F.coalesce("b", F.lit(0)) / F.col("u"), 6).alias("iou"))
 
 
+def context_sufficiency(hits: DataFrame, least: float = 0.5, judge: Callable[[str, str], float] | None = None) -> DataFrame:
+    """(query_id, covered, sufficient): whether all hits of a query together are enough to answer it.
+
+    ``hits`` has (query_id, rank, chunk, answer). Without a judge the share of the answer's words
+    that the chunks hold decides; a judge is given the joined chunks and the answer, in rank order,
+    and returns a score from 0 to 1. An empty answer is covered by nothing.
+    """
+    all_ = hits.groupBy("query_id", "answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n").alias("all"))
+    if judge is None:
+        score = text.overlap(F.col("all"), F.col("answer"))
+    else:
+
+        @F.pandas_udf("double")
+        def judged(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([float(judge(x, y)) for x, y in zip(a, b)], dtype=float)
+
+        score = judged("all", "answer")
+    return all_.select("query_id", score.alias("score")).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("covered")).withColumn("sufficient", F.col("covered") >= least)
+
+
 def multi_hop(chunks: DataFrame, cases: DataFrame, answer: float = 0.4, relevant: float = 0.3, gold: float = 0.25) -> DataFrame:
     """Multi-hop scores per case: (case_id, answered, recall, mrr).
 

@@ -44,6 +44,47 @@ def fold_observations(obs: DataFrame) -> DataFrame:
     )
 
 
+def record(state: DataFrame, seen: DataFrame, scan: str, model_id: str, now: str) -> DataFrame:
+    """``state`` (one row per edge_id) after one scan that saw the bridges ``seen``.
+
+    ``seen`` has (src_ns, src, dst_ns, dst, relation, tier, weight, source_file). Bridges within a
+    namespace are left out; of a bridge seen twice the heaviest counts. An anchored edge keeps
+    everything but the time it was seen; a new one starts at 1; one that waits for its first real
+    scan (PENDING) takes this scan's values and keeps its count; another model starts again at 1;
+    another scan adds 1; the same scan changes nothing. An unknown tier is INFERRED.
+    """
+    key = F.concat("src_ns", F.lit("::"), "src", F.lit("→"), "dst_ns", F.lit("::"), "dst")
+    tier_ = F.when(F.col("tier").isin("EXTRACTED", "INFERRED", "AMBIGUOUS"), F.col("tier")).otherwise("INFERRED")
+    new = seen.filter(F.col("src_ns") != F.col("dst_ns")).select(
+        key.alias("edge_id"), F.concat_ws("::", "src_ns", "src").alias("n_source"), F.concat_ws("::", "dst_ns", "dst").alias("n_target"), F.coalesce("relation", F.lit("bridge")).alias("n_kind"), tier_.alias("n_tier"), F.coalesce("weight", F.lit(0.7)).alias("n_conf"), F.coalesce("source_file", F.lit("")).alias("n_file"),
+    )
+    one = new.groupBy("edge_id", "n_source", "n_target").agg(F.max_by(F.struct("n_kind", "n_tier", "n_conf", "n_file"), F.struct("n_conf", "n_kind", "n_tier", "n_file")).alias("n"))
+    j = state.withColumn("_old", F.lit(True)).join(one, "edge_id", "full")
+    old, hit = F.col("_old").isNotNull(), F.col("n").isNotNull()
+    anchored = F.lower("lifecycle_class") == "anchored"
+    waits = F.col("last_seen_parsed_at").eqNullSafe(F.lit(PENDING))
+    other = ~F.col("model_id").eqNullSafe(F.lit(model_id))
+    again = ~F.col("last_seen_parsed_at").eqNullSafe(F.lit(scan))
+    free = old & hit & ~F.coalesce(anchored, F.lit(False))
+    moved = free & (waits | other | again)
+    fresh = free & (waits | other)
+    cols = {
+        "source_node": F.coalesce("source_node", "n_source"),
+        "target_node": F.coalesce("target_node", "n_target"),
+        "edge_kind": F.when(old, F.col("edge_kind")).otherwise(F.col("n.n_kind")),
+        "confidence_tier": F.when(old, F.col("confidence_tier")).otherwise(F.col("n.n_tier")),
+        "confidence": F.when(fresh | ~old, F.col("n.n_conf")).otherwise(F.col("confidence")),
+        "first_seen_at": F.when(old, F.col("first_seen_at")).otherwise(F.lit(now)),
+        "last_seen_at": F.when(~old | moved | (old & hit & anchored), F.lit(now)).otherwise(F.col("last_seen_at")),
+        "last_seen_parsed_at": F.when(~old | moved, F.lit(scan)).otherwise(F.col("last_seen_parsed_at")),
+        "source_file": F.when(old, F.col("source_file")).otherwise(F.col("n.n_file")),
+        "consecutive_seen": F.when(~old, 1).when(free & ~waits & other, 1).when(free & ~waits & again, F.coalesce("consecutive_seen", F.lit(0)) + 1).otherwise(F.col("consecutive_seen")).cast("int"),
+        "model_id": F.when(fresh | ~old, F.lit(model_id)).otherwise(F.col("model_id")),
+        "lifecycle_class": F.when(old, F.col("lifecycle_class")).otherwise(F.lit("probabilistic")),
+    }
+    return j.select(*[cols.get(c, F.col(c)).alias(c) for c in state.columns])
+
+
 def sweep(state: DataFrame, seen: DataFrame, source_file: str) -> DataFrame:
     """State after a scan of one source file: its probabilistic edges that were not seen count 0. A blank file sweeps nothing."""
     if not source_file.strip():

@@ -38,8 +38,14 @@ def first_seen_since(state: DataFrame, since: str) -> DataFrame:
     return state.filter(iso_micros(F.col("first_seen_at")) >= iso_micros(F.lit(since))).select("edge_id", "source_node", "target_node").distinct()
 
 
+# fixed values: kinds of nodes whose content is worth a vector
+EMBEDDABLE = ("note", "knowledge", "image", "pdf", "audio", "function", "class", "module")
+
+
 def embeddable(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(~F.col("kind").isin("tag", "category") & (F.trim("content") != ""))
+    """Nodes of the embeddable kinds with content, but those whose ``metadata`` (JSON, a column that may be missing) says embed: false."""
+    rows = nodes.filter(F.col("kind").isin(*EMBEDDABLE) & (F.trim("content") != ""))
+    return rows.filter(~F.get_json_object("metadata", "$.embed").eqNullSafe(F.lit("false"))) if "metadata" in nodes.columns else rows
 
 
 def embed_status(nodes: DataFrame, cache: DataFrame) -> DataFrame:

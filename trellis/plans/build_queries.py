@@ -26,12 +26,7 @@ def code_definitions(spark, d):
 
 def code_edges(spark, d):
     _, edges = code.graph_of(_files(spark, d))
-    return edges
-
-
-def code_flows(spark, d):
-    defs, edges = code.graph_of(_files(spark, d))
-    return code.flows(cut(defs), cut(edges.filter("relation = 'calls'").select("src", "dst")))
+    return edges.drop("pos")
 
 
 def atomize_scan(spark, d):
@@ -58,7 +53,7 @@ def entity_groups(spark, d):
     return levels.entity_groups(c.select("source_idx", "idx", names.alias("entities")))
 
 
-QUERIES = {f.__name__: f for f in (code_definitions, code_edges, code_flows, atomize_scan, community_prompts, view_links, pending_embeddings, entity_groups)}
+QUERIES = {f.__name__: f for f in (code_definitions, code_edges, atomize_scan, community_prompts, view_links, pending_embeddings, entity_groups)}
 
 SQL = {
     "community_prompts": f"""WITH {VN}, l AS (SELECT community_id, id, '- ' || id || ': ' || substr(coalesce(content, ''), 1, 500) AS line FROM vn WHERE community_id IS NOT NULL),
@@ -69,5 +64,5 @@ SELECT s.community_id, members, CAST(c + CASE WHEN members > n THEN length(chr(1
     "view_links": f"""{GRAPH}, d AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM ve UNION ALL SELECT dst FROM ve) GROUP BY id), n AS (SELECT vn.id FROM vn JOIN d ON vn.id = d.id WHERE k >= 2)
 SELECT src, dst, relation, greatest(0.5, 1.5 * coalesce(weight, 1.0)) AS width FROM ve WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
     "pending_embeddings": f"""WITH {VN}, c AS (SELECT node_id, sha FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY append_seq DESC) AS k FROM embed_cache WHERE node_id IS NOT NULL) WHERE k = 1)
-SELECT id, content_hash FROM vn WHERE kind NOT IN ('tag', 'category') AND trim(content) <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.node_id = vn.id AND c.sha = vn.content_hash)""",
+SELECT id, content_hash FROM vn WHERE kind IN ('note', 'knowledge', 'image', 'pdf', 'audio', 'function', 'class', 'module') AND trim(content) <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.node_id = vn.id AND c.sha = vn.content_hash)""",
 }

@@ -81,7 +81,9 @@ def explain_node(spark, d):
 
 
 def tier_violations(spark, d):
-    return graph.tier_violations(_edges(spark, d)).select("src", "dst", "tier", "score")
+    """Of the written and the observed edges those whose score does not fit their tier."""
+    seen = table(spark, d, "probe_state").select(F.col("source_node").alias("src"), F.col("target_node").alias("dst"), F.col("confidence_tier").alias("tier"), F.col("confidence").alias("score")).distinct()
+    return graph.tier_violations(_edges(spark, d).select("src", "dst", "tier", "score").unionByName(seen))
 
 
 def lifecycle_migration(spark, d):
@@ -98,8 +100,9 @@ def federated_view(spark, d):
 
 
 def _roots(spark, d):
-    """The tag and knowledge nodes whose ids end in a zero: a stated set of starting points."""
-    return _nodes(spark, d, "kind").filter((F.col("kind") == "knowledge") & F.col("id").rlike("00$")).select(F.col("id").alias("root"))
+    """Every live node whose last write has a number divisible by 20: a stated set of starting points."""
+    n = table(spark, d, "nodes")
+    return graph.valid_nodes(n.withColumn("number", F.col("seq")), "number").filter("number % 20 = 0").select(F.col("id").alias("root"))
 
 
 def impact_upstream(spark, d):
@@ -150,7 +153,7 @@ cd AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ce WHERE src_c
 gods AS (SELECT * FROM (SELECT n.community_id, n.id, n.label, coalesce(c.degree, 0) AS degree,
   CAST(row_number() OVER (PARTITION BY n.community_id ORDER BY coalesce(c.degree, 0) DESC, n.id) AS INTEGER) AS rank
   FROM vn n LEFT JOIN cd c ON n.id = c.id WHERE n.community_id IS NOT NULL) WHERE rank <= 5)"""
-_ROOTS = "roots AS (SELECT id AS root FROM vn WHERE kind = 'knowledge' AND regexp_matches(id, '00$'))"
+_ROOTS = "roots AS (SELECT id AS root FROM vn WHERE seq % 20 = 0)"
 
 
 def _impact(direction: str, depth: int, least: float, how: str) -> str:
@@ -214,7 +217,7 @@ FROM vn n LEFT JOIN c ON n.namespace = c.namespace GROUP BY n.namespace""",
     "node_summaries": f"{GRAPH}, {_DEG} SELECT vn.id, label, kind, ontology_type, tokens, community_id, coalesce(degree, 0) AS degree FROM vn LEFT JOIN dg ON vn.id = dg.id",
     "explain_node": f"""{GRAPH}, x AS (SELECT 'out' AS direction, dst AS other, relation, tier, score FROM ve WHERE src = '{ROOT}' UNION ALL SELECT 'in', src, relation, tier, score FROM ve WHERE dst = '{ROOT}')
 SELECT direction, other, coalesce(label, other) AS label, kind, relation, x.tier, x.score FROM x LEFT JOIN vn ON other = id""",
-    "tier_violations": f"""WITH {VE} SELECT src, dst, tier, score FROM ve WHERE score IS NOT NULL AND NOT coalesce((tier = 'EXTRACTED' AND score BETWEEN 0.95 AND 1.0)
+    "tier_violations": f"""WITH {VE}, al AS (SELECT src, dst, tier, score FROM ve UNION ALL SELECT DISTINCT source_node, target_node, confidence_tier, confidence FROM probe_state) SELECT src, dst, tier, score FROM al WHERE score IS NOT NULL AND NOT coalesce((tier = 'EXTRACTED' AND score BETWEEN 0.95 AND 1.0)
 OR (tier = 'INFERRED' AND score BETWEEN 0.30 AND 0.94) OR (tier = 'AMBIGUOUS' AND score BETWEEN 0.0 AND 0.29), false)""",
     "lifecycle_migration": f"""WITH {VE} SELECT src, dst, CASE WHEN source_pass IN ('ast', 'code') THEN 'deterministic' WHEN source_pass = 'conv' THEN 'anchored' ELSE lifecycle END AS lifecycle,
 NOT coalesce(source_pass IN ('ast', 'code', 'conv'), false) AS blocked FROM ve""",

@@ -30,7 +30,7 @@ def vault_nodes(docs: DataFrame, namespace: str = schema.HOME) -> DataFrame:
     inline = text.inline_tags(F.col("body"))
     return docs.select(
         files.document_id(F.col("path"), front).alias("id"), text.knowledge_label(get("title"), text.file_stem(F.col("path"))).alias("label"), F.when(get("knowledge_id").isNotNull(), "knowledge").otherwise("note").alias("kind"),
-        F.lit(namespace).alias("namespace"), F.col("path").alias("source_file"), F.col("body").alias("content"), "content_hash", text.estimate_tokens(F.col("body")).alias("tokens"), get("knowledge_id").alias("knowledge_id"),
+        F.lit(namespace).alias("namespace"), F.col("path").alias("source_file"), F.col("body").alias("content"), "content_hash", text.estimate_tokens(F.col("body")).alias("tokens"), get("knowledge_id").alias("knowledge_id"), F.coalesce(get("canonical") == "true", F.lit(False)).alias("canonical"),
         _json_list(front, "aliases").alias("aliases"), F.array_union(_json_list(front, "tags"), inline).alias("tags"), get("category").alias("category"), F.from_json(get("relations"), "map<string,string>").alias("_rel"), "front",
     ).withColumn("relations", F.transform_values("_rel", lambda k, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))).drop("_rel", "front")
 

@@ -76,6 +76,16 @@ def search_files(spark, d):
     return retrieve.search_lines(records.last_files(table(spark, d, "files")), PHRASE)
 
 
+def _rendered(spark, d, *cols):
+    """Notes as they are written out: the content, then their typed relations as links and their tags."""
+    n = _nodes(spark, d, "content", "relations", "tags", *[c for c in cols if c not in ("relations", "tags")])
+    none = F.array().cast("array<string>")
+    targets = F.array_distinct(F.flatten(F.coalesce(F.map_values("relations"), F.array().cast("array<array<string>>"))))
+    links = F.transform(F.filter(targets, lambda t: t.isNotNull()), lambda t: F.concat(F.lit("[["), t, F.lit("]]")))
+    tags = F.transform(F.filter(F.coalesce("tags", none), lambda t: t.isNotNull()), lambda t: F.concat(F.lit("#"), t))
+    return n.withColumn("content", F.concat_ws(" ", F.coalesce("content", F.lit("")), F.array_join(F.coalesce(links, none), " "), F.array_join(tags, " ")))
+
+
 def wikilinks(spark, d):
     return link.wikilinks(_nodes(spark, d, "content"))
 
@@ -85,7 +95,7 @@ def name_index(spark, d):
 
 
 def wikilink_edges(spark, d):
-    n = cut(_nodes(spark, d, "content", "label", "aliases", "knowledge_id", "source_file"))
+    n = cut(_rendered(spark, d, "label", "aliases", "knowledge_id", "source_file"))
     return link.resolve_links(link.wikilinks(n), link.name_index(n))
 
 
@@ -95,7 +105,7 @@ def typed_relations(spark, d):
 
 
 def inline_tags(spark, d):
-    return _nodes(spark, d, "content").select("id", F.explode(text.inline_tags(F.col("content"))).alias("tag"))
+    return _rendered(spark, d).select("id", F.explode(text.inline_tags(F.col("content"))).alias("tag"))
 
 
 def tag_cooccurrence(spark, d):
@@ -107,7 +117,9 @@ def shared_tag_bridges(spark, d):
 
 
 def symbol_links(spark, d):
-    return link.symbol_links(cut(_nodes(spark, d, "label", "namespace", "kind", "content")))
+    """The symbols of the code graph in all files of the vault, of which the given ones name symbols in code only."""
+    notes = records.last_files(table(spark, d, "files")).select(F.col("path").alias("id"), "content")
+    return link.symbol_links(notes, _nodes(spark, d, "label", "namespace", "kind"))
 
 
 def drift_check(spark, d):
@@ -243,7 +255,9 @@ def embed_status(spark, d):
 
 
 def cache_gc(spark, d):
-    return records.live_cache(table(spark, d, "embed_cache"), _nodes(spark, d, "content_hash")).select("node_id", "sha", "append_seq")
+    """The given cache names its lines by the sha1 of the node's id."""
+    live = _nodes(spark, d, "kind").select("id", F.sha1(F.col("id").cast("binary")).alias("content_hash"))
+    return records.live_cache(table(spark, d, "embed_cache"), live).select("node_id", "sha", "append_seq")
 
 
 def incremental_diff(spark, d):
@@ -303,6 +317,8 @@ def _enumerate(parts: str) -> str:
 _LINKS = r"""lk AS (SELECT id, CAST(i - 1 AS INTEGER) AS pos, a[i] AS raw, regexp_extract(a[i], '\[\[([^\[\]]+)\]\]', 1) AS x FROM (SELECT id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT id, regexp_extract_all(content, '!?\[\[[^\[\]]+\]\]') AS a FROM vn))),
 wl AS (SELECT id, pos, trim(regexp_extract(x, '^([^#^|]*)', 1)) AS target, regexp_extract(x, '#([^\^|]*)', 1) AS section, regexp_extract(x, '\^([^|]*)', 1) AS block, regexp_extract(x, '\|(.*)$', 1) AS display,
   CASE WHEN starts_with(raw, '!') THEN 'embeds' WHEN regexp_extract(x, '#([^\^|]*)', 1) <> '' THEN 'links_to_section' WHEN regexp_extract(x, '\^([^|]*)', 1) <> '' THEN 'links_to_block' ELSE 'links_to' END AS relation FROM lk)"""
+_RENDERED = """rn AS (SELECT id, concat_ws(' ', coalesce(content, ''), array_to_string(list_transform(list_filter(coalesce(list_distinct(flatten(map_values(relations))), []), lambda t: t IS NOT NULL), lambda t: '[[' || t || ']]'), ' '),
+  array_to_string(list_transform(list_filter(coalesce(tags, []), lambda t: t IS NOT NULL), lambda t: '#' || t), ' ')) AS content FROM vn)"""
 _INDEX = r"""kf AS (SELECT DISTINCT id, tier, lower(key) AS key FROM (SELECT id, CASE WHEN knowledge_id IS NOT NULL THEN 3 WHEN list_contains(string_split(source_file, '/'), 'knowledge') THEN 1 ELSE 0 END AS tier,
   unnest(list_concat([label, knowledge_id], coalesce(aliases, []))) AS key FROM vn) WHERE key IS NOT NULL),
 ni AS (SELECT key, min(id) AS id FROM (SELECT *, max(tier) OVER (PARTITION BY key) AS top FROM kf) WHERE tier = top GROUP BY key HAVING count(*) = 1)"""
@@ -343,17 +359,26 @@ SELECT vn.id, label, kind, tokens, via FROM x JOIN vn ON x.id = vn.id""",
     "search_files": f"WITH {_FILES}, l AS (SELECT path, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS a FROM fl)) SELECT path, CAST(i AS INTEGER) AS line_no, substr(a[i], 1, 200) AS text FROM l WHERE contains(lower(a[i]), '{PHRASE}')",
     "wikilinks": f"WITH {VN}, {_LINKS} SELECT * FROM wl",
     "name_index": f"WITH {VN}, {_INDEX} SELECT key, id FROM ni",
-    "wikilink_edges": f"WITH {VN}, {_LINKS}, {_INDEX} SELECT DISTINCT wl.id AS src, ni.id AS dst, relation FROM wl JOIN ni ON lower(target) = key WHERE wl.id <> ni.id",
+    "wikilink_edges": f"WITH {VN}, {_RENDERED}, {_LINKS.replace('FROM vn)', 'FROM rn)')}, {_INDEX} SELECT DISTINCT wl.id AS src, ni.id AS dst, relation FROM wl JOIN ni ON lower(target) = key WHERE wl.id <> ni.id",
     "typed_relations": f"""WITH {VN}, {_INDEX}, r AS (SELECT id, e.key AS relation, unnest(e.value) AS target FROM (SELECT id, unnest(map_entries(relations)) AS e FROM vn))
 SELECT DISTINCT r.id AS src, ni.id AS dst, relation FROM r JOIN ni ON lower(target) = ni.key WHERE r.id <> ni.id AND relation IN ('supersedes', 'superseded_by', 'depends_on', 'refines', 'contradicts', 'references')""",
-    "inline_tags": rf"WITH {VN} SELECT id, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(content, '```[\s\S]*?```', ' ', 'g'), '`[^`\n]*`', ' ', 'g'), '(?:^|[ \t\r\n])#([A-Za-z_][A-Za-z0-9_/-]*)', 1))) AS tag FROM vn",
+    "inline_tags": rf"WITH {VN}, {_RENDERED} SELECT id, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(content, '```[\s\S]*?```', ' ', 'g'), '`[^`\n]*`', ' ', 'g'), '(?:^|[ \t\r\n])#([A-Za-z_][A-Za-z0-9_/-]*)', 1))) AS tag FROM rn",
     "tag_cooccurrence": f"""WITH {VN}, t AS (SELECT DISTINCT id, tag FROM (SELECT id, unnest(tags) AS tag FROM vn) WHERE tag IS NOT NULL)
 SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS nodes FROM t a JOIN t b ON a.id = b.id AND a.tag < b.tag GROUP BY ALL""",
     "shared_tag_bridges": f"""WITH {VN}, t AS (SELECT DISTINCT namespace, tag FROM (SELECT namespace, unnest(tags) AS tag FROM vn) WHERE tag IS NOT NULL)
 SELECT a.tag, a.namespace AS ns_a, b.namespace AS ns_b, 0.5::DOUBLE AS weight FROM t a JOIN t b ON a.tag = b.tag AND a.namespace < b.namespace""",
-    "symbol_links": rf"""WITH {VN}, sy AS (SELECT trim(label) AS symbol, count(DISTINCT id) AS n, min(id) AS dst FROM vn WHERE namespace = 'code' AND kind IN ('function', 'class', 'module') AND length(trim(label)) >= 5 GROUP BY 1),
-w AS (SELECT src, symbol, count(*) AS occurrences FROM (SELECT id AS src, unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+')) AS symbol FROM vn WHERE namespace <> 'code' AND content IS NOT NULL) GROUP BY ALL)
-SELECT src, w.symbol, dst, CASE WHEN n = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS tier, CASE WHEN n = 1 THEN 0.9 ELSE 0.2 END AS score, least(1.0, round(0.5 + 0.1 * occurrences, 6)) AS weight, occurrences FROM w JOIN sy ON w.symbol = sy.symbol""",
+    "symbol_links": rf"""WITH {VN}, {_FILES}, sy AS (SELECT DISTINCT trim(label) AS symbol, id AS dst FROM vn WHERE namespace = 'code' AND kind IN ('function', 'class', 'module') AND length(trim(label)) >= 5 AND trim(label) NOT IN {tuple(link.GENERIC)}),
+ns AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM sy),
+w AS (SELECT src, symbol, 1 AS via, count(*) AS occurrences FROM (SELECT path AS src, unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+')) AS symbol FROM fl) GROUP BY ALL
+  UNION ALL SELECT src, symbol, 0, count(*) FROM (SELECT path AS src, trim(unnest(regexp_extract_all(content, '\[\[([^\]|]+)(\|[^\]]+)?\]\]', 1))) AS symbol FROM fl) GROUP BY ALL)
+SELECT src, w.symbol, dst, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN via = 0 THEN 'EXTRACTED' ELSE 'INFERRED' END AS tier, CASE WHEN n > 1 THEN 0.2 WHEN via = 0 THEN 1.0 ELSE 0.9 END::DOUBLE AS score,
+  CASE WHEN via = 0 THEN 1.0 ELSE least(1.0, round(0.5 + 0.1 * occurrences, 6)) END::DOUBLE AS weight, occurrences
+FROM w JOIN ns ON w.symbol = ns.symbol QUALIFY row_number() OVER (PARTITION BY src, w.symbol, dst ORDER BY via) = 1""",
+    "similarity_edges": f"""WITH {VE}, {VV}, p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.vec, y.vec) AS c FROM vv x JOIN vv y ON x.id <> y.id WHERE list_cosine_similarity(x.vec, y.vec) >= 0.65),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 10), o AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, round(max(c), 4) AS score FROM k GROUP BY 1, 2)
+SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM ve WHERE least(ve.src, ve.dst) = o.src AND greatest(ve.src, ve.dst) = o.dst)""",
+    "embedding_bridges": f"""WITH {VN}, {VV}, g AS (SELECT vv.id, vec, namespace AS grp FROM vv JOIN vn ON vv.id = vn.id), p AS (SELECT x.id AS src, y.id AS dst, y.grp AS other, list_cosine_similarity(x.vec, y.vec) AS c FROM g x JOIN g y ON x.grp < y.grp WHERE list_cosine_similarity(x.vec, y.vec) >= 0.7)
+SELECT src, dst, round(c, 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY src, other ORDER BY round(c, 9) DESC, dst) <= 5""",
     "drift_check": f"""{GRAPH} SELECT DISTINCT src, dst, CASE WHEN id IS NULL THEN 'not_found' ELSE 'valid' END AS status FROM ve LEFT JOIN (SELECT id FROM vn WHERE namespace = 'code') c ON dst = id WHERE relation = 'mentions_symbol'""",
     "drift_flags": f"""{GRAPH}, x AS (SELECT DISTINCT src, dst FROM ve WHERE relation = 'mentions_symbol' AND dst NOT IN (SELECT id FROM vn WHERE namespace = 'code') AND src IN (SELECT id FROM vn))
 SELECT src, count(*) AS lost, array_to_string(list_sort(list_distinct(list(list_last(string_split(dst, '::'))))), ',') AS symbols FROM x GROUP BY src""",
@@ -404,10 +429,10 @@ SELECT source_idx AS source, CAST(g AS INTEGER) AS grp, count(*) AS members, str
 SELECT namespace, count(*) AS n, round(1 - coalesce(avg(CASE WHEN b IS NOT NULL THEN list_cosine_similarity(b, vec) END), 0), 6) AS clarity FROM j GROUP BY namespace""",
     "char_budget": f"""WITH {VN}, r AS (SELECT community_id, id, length(content) AS n, sum(length(content)) OVER (PARTITION BY community_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM vn WHERE community_id IS NOT NULL AND content IS NOT NULL)
 SELECT community_id AS grp, count(CASE WHEN used <= 2000 THEN 1 END) AS kept, count(CASE WHEN used > 2000 THEN 1 END) AS more, CAST(coalesce(sum(CASE WHEN used <= 2000 THEN n END), 0) AS BIGINT) AS chars FROM r GROUP BY 1""",
-    "embed_status": f"""WITH {VN}, e AS (SELECT id, content_hash FROM vn WHERE kind NOT IN ('tag', 'category') AND trim(content) <> ''),
+    "embed_status": f"""WITH {VN}, e AS (SELECT id, content_hash FROM vn WHERE kind IN ('note', 'knowledge', 'image', 'pdf', 'audio', 'function', 'class', 'module') AND trim(content) <> ''),
 c AS (SELECT node_id, sha FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY append_seq DESC) AS k FROM embed_cache WHERE node_id IS NOT NULL) WHERE k = 1)
 SELECT count(*) AS embeddable, count(CASE WHEN c.sha = e.content_hash THEN 1 END) AS cached, count(*) - count(CASE WHEN c.sha = e.content_hash THEN 1 END) AS pending FROM e LEFT JOIN c ON e.id = c.node_id""",
-    "cache_gc": f"WITH {VN} SELECT DISTINCT node_id, sha, append_seq FROM embed_cache c WHERE EXISTS (SELECT 1 FROM vn WHERE vn.id = c.node_id AND vn.content_hash = c.sha)",
+    "cache_gc": f"WITH {VN} SELECT DISTINCT node_id, sha, append_seq FROM embed_cache c WHERE EXISTS (SELECT 1 FROM vn WHERE vn.id = c.node_id AND sha1(vn.id) = c.sha)",
     "incremental_diff": """WITH v AS (SELECT path, arrived_at, file_seq, CASE WHEN content IS NOT NULL THEN sha256(content) END AS h FROM files WHERE path IS NOT NULL),
 b AS (SELECT path, h FROM v WHERE arrived_at < TIMESTAMP '2025-07-01 00:00:00' QUALIFY row_number() OVER (PARTITION BY path ORDER BY arrived_at DESC, file_seq DESC) = 1),
 n AS (SELECT path, h FROM v QUALIFY row_number() OVER (PARTITION BY path ORDER BY arrived_at DESC, file_seq DESC) = 1)

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: folders that hold no documents
-EXCLUDED = (".git", ".obsidian", ".trash", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode", "dist", "build", ".pytest_cache", ".mypy_cache", ".cache", "templates")
+# fixed values: folders that hold no documents; the last one is where this engine writes
+EXCLUDED = (".git", ".obsidian", ".trash", ".DS_Store", "__pycache__", "node_modules", ".venv", "venv", ".env", "logs", ".pytest_cache", ".mypy_cache", "dist", "build", ".trellis")
 MEDIA = {"image": ("png", "jpg", "jpeg", "gif", "webp", "svg"), "pdf": ("pdf",), "audio": ("mp3", "wav", "m4a", "ogg", "flac")}
 PDF_LIMIT = 30_000
 _FRONT = r"^---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|$)"
