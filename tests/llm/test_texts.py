@@ -148,6 +148,8 @@ def test_leaks_under_the_gate(spark):
     qa = spark.createDataFrame([(k, None, None, " ".join(t)) for k, t in enumerate(texts)], "qa_id int, question string, answer string, source_text string")
     assert {(r["doc_id"], r["qa_id"]) for r in leak.leaks(d, qa, cosine=2.0).collect()} == want
     assert {(r["doc_id"], r["qa_id"]) for r in leak.leaks(d, qa).collect()} == want
+    # more evaluation rows than are broadcast together go in blocks
+    assert {(r["doc_id"], r["qa_id"]) for r in leak.leaks(d, qa, at_once=11).collect()} == want
 
 
 def test_every_passage_has_a_run():

@@ -10,10 +10,12 @@ reaches COSINE make the pair a candidate. So does a run of RUN equal words: no c
 without one, so what lies under COSINE, or outside of a space of RANK, is not lost. The
 longest common subsequence with few edits then settles every candidate over the whole document.
 
-Scale: the evaluation set is small and bounded (its size is checked), so its words,
-latent vectors and windows are broadcast; documents are read once, kept as word hashes,
-and never shuffled. What comes to the driver is BUCKETS document frequencies and one
-matrix of words x RANK.
+Scale: evaluation texts are taken in blocks of TEXTS_AT_ONCE rows, whose words, latent vectors
+and runs are broadcast; documents are read once, kept as word hashes, and never shuffled. Windows
+whose latent vector is too short to reach COSINE with anything are dropped, the rest is compared
+with the evaluation windows of its PROBES nearest centroids, so the work grows with the root of
+their number. What comes to the driver is bounded by the block and not by the corpus: the document
+frequencies of its words, those of all other words in BUCKETS sums, and a matrix of words x RANK.
 """
 
 from __future__ import annotations
@@ -23,21 +25,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import align
-from trellis.session import cut
+from trellis.session import cut, spread_few
 
-BUCKETS, RANK, OVERSAMPLE = 1 << 16, 176, 16
+BUCKETS, RANK, OVERSAMPLE = 1 << 18, 176, 16
 TEXT_WEIGHT = 16.0
 DOC_WINDOW, DOC_STEP, TEXT_WINDOW, TEXT_STEP = 16, 5, 24, 8
 COSINE = 0.42
 #: A passage of n >= 16 words with e <= n / 8 edits has at least n - e equal words in at most e + 1 runs,
 #: so one run has at least (n - e) / (e + 1) of them: over 4 at 16 words with 2 edits, more in any longer passage.
 RUN = 5
-#: Evaluation texts beyond this many are refused: they are broadcast.
-MAX_TEXTS = 20_000
+#: Evaluation rows that are broadcast together; more of them are taken in blocks.
+TEXTS_AT_ONCE = 5_000
+#: Centroids of evaluation windows that a document's window is compared with.
+PROBES = 8
 _SEED = 7
 
 
@@ -66,37 +72,54 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h & (BUCKETS - 1)).astype(np.int64)
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, docs = np.zeros(BUCKETS, np.int64), 0
-    for pdf in batches:
-        for words in pdf["words"]:
-            counts[np.unique(_bucket(np.asarray(words, np.int64)))] += 1
-            docs += 1
-    at = np.flatnonzero(counts)
-    yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(counts[at], docs)})
+def _frequencies(vocabulary: np.ndarray):
+    """In how many documents each word of the vocabulary stands; of other words those of each bucket together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, rest, docs = np.zeros(len(vocabulary), np.int64), np.zeros(BUCKETS, np.int64), 0
+        for pdf in batches:
+            for words in pdf["words"]:
+                w = np.unique(np.asarray(words, np.int64))
+                at = _column(vocabulary, w)
+                own[at[at >= 0]] += 1
+                np.add.at(rest, _bucket(w[at < 0]), 1)
+                docs += 1
+        a, b = np.flatnonzero(own), np.flatnonzero(rest)
+        yield pd.DataFrame({"i": np.concatenate([a, b + len(own), [-1]]), "n": np.concatenate([own[a], rest[b], [docs]])})
+
+    return run
+
+
+def _column(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place of each word in the sorted vocabulary, -1 for those outside."""
+    if not len(vocabulary):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == words, at, -1)
 
 
 class Space:
     """Words of the evaluation texts, their weights, and the basis of the latent space."""
 
-    def __init__(self, texts: list[np.ndarray], frequency: np.ndarray, docs: int):
-        self.texts = texts
+    def __init__(self, vocabulary: np.ndarray, frequency: np.ndarray, docs: int):
+        self.vocabulary = vocabulary
         self.idf = (np.log((docs + 1) / (frequency + 1)) + 0.1).astype(np.float32)
-        self.vocabulary = np.unique(np.concatenate(texts)) if texts else np.empty(0, np.int64)
-        self.basis = np.zeros((len(self.vocabulary), 0), np.float32)
+        self.basis = np.zeros((len(vocabulary), 0), np.float32)
 
     def columns(self, words: np.ndarray) -> np.ndarray:
         """Column of each word, -1 for those outside of the evaluation texts."""
-        at = np.searchsorted(self.vocabulary, words)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == words, at, -1)
+        return _column(self.vocabulary, words)
+
+    def weights(self, words: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return self.idf[np.where(columns >= 0, columns, len(self.vocabulary) + _bucket(words))]
 
     def windows(self, words: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the windows, the columns of all words and their weights; the last window ends with the text."""
         starts = np.arange(0, max(1, len(words) - size + 1), step)
         if starts[-1] + size < len(words):
             starts = np.append(starts, len(words) - size)
-        return starts, self.columns(words), self.idf[_bucket(words)]
+        cols = self.columns(words)
+        return starts, cols, self.weights(words, cols)
 
     def latent(self, words: np.ndarray, size: int, step: int, basis: np.ndarray) -> np.ndarray:
         """Latent vectors of the windows, divided by the full TF-IDF norms, so that products are cosines at most."""
@@ -127,7 +150,8 @@ class Space:
             return
         words = np.concatenate(passages)
         part = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-        cols, idf = self.columns(words), self.idf[_bucket(words)]
+        cols = self.columns(words)
+        idf = self.weights(words, cols)
         norm = np.sqrt(np.bincount(part, idf.astype(np.float64) ** 2, len(passages))).astype(np.float32)
         keep = cols >= 0
         c, p, v = cols[keep], part[keep], (idf[keep] / norm[part[keep]])[:, None]
@@ -155,13 +179,45 @@ def _sum_matrix(tokens: DataFrame, space: Space, right: np.ndarray) -> np.ndarra
     # there is a partial matrix per partition, so partitions are as many as the cluster's cores ask for, not the data
     spread = 4 * tokens.sparkSession.sparkContext.defaultParallelism
     parts = tokens.select("words").coalesce(spread).mapInPandas(run, "i bigint, row array<double>")
-    each = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    each = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).toArrow()
     out = np.zeros((len(right) + 1, right.shape[1]))
-    for r in each.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("row")).collect():
-        out[r["i"]] = [c["x"] for c in r["row"]]
+    if len(each):
+        out[each.column("i").to_numpy()] = each.column("row").combine_chunks().flatten().to_numpy().reshape(len(each), -1)
     return out
 
 
+class Centroids:
+    """Evaluation windows by their nearest of as many centroids as the root of their number."""
+
+    def __init__(self, queries: np.ndarray, owner: np.ndarray, rounds: int = 6):
+        self.queries, self.owner = queries, owner
+        unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+        k = max(1, int(np.sqrt(len(queries))))
+        c = unit[np.random.default_rng(_SEED).choice(len(unit), k, replace=False)]
+        for _ in range(rounds):
+            near = (unit @ c.T).argmax(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, near, unit)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
+        near = (unit @ c.T).argmax(axis=1)
+        self.centres, self.lists = c, [np.flatnonzero(near == i) for i in range(k)]
+
+    def search(self, z: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of z and indices of texts one of whose windows reaches the cosine."""
+        # no product can be larger than the vector is long
+        keep = np.flatnonzero(np.linalg.norm(z, axis=1) >= cosine)
+        near = z[keep] @ self.centres.T
+        probes = min(PROBES, near.shape[1])
+        top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+        rows, texts = [np.empty(0, int)], [np.empty(0, int)]
+        for c in np.unique(top):
+            mine, list_ = keep[(top == c).any(axis=1)], self.lists[c]
+            p, q = np.nonzero(z[mine] @ self.queries[list_].T >= cosine)
+            rows.append(mine[p]), texts.append(self.owner[list_[q]])
+        return np.concatenate(rows), np.concatenate(texts)
+
+
 def runs_of(words: np.ndarray) -> np.ndarray:
     """Hashes of all runs of RUN words, in order."""
     w, n = words.view(np.uint64), max(0, len(words) - RUN + 1)
@@ -194,14 +250,12 @@ class Runs:
 
 def fit(tokens: DataFrame, texts: list[np.ndarray], rank: int = RANK) -> Space:
     """Document frequencies and the randomised SVD over all documents."""
-    rows = tokens.select("words").mapInPandas(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    frequency, docs = np.zeros(BUCKETS), 0
-    for r in rows:
-        if r["bucket"] < 0:
-            docs = r["n"]
-        else:
-            frequency[r["bucket"]] = r["n"]
-    space = Space(texts, frequency, docs)
+    vocabulary = np.unique(np.concatenate(texts)) if texts else np.empty(0, np.int64)
+    got = tokens.select("words").mapInPandas(_frequencies(vocabulary), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    at, count = got.column("i").to_numpy(), got.column("n").to_numpy()
+    frequency = np.zeros(len(vocabulary) + BUCKETS)
+    frequency[at[at >= 0]] = count[at >= 0]
+    space = Space(vocabulary, frequency, int(count[at < 0].sum()))
     n = len(space.vocabulary)
     width = min(n, rank + OVERSAMPLE)
     # every third of a window apart, so that each run of words lies well inside of one
@@ -223,9 +277,7 @@ def fit(tokens: DataFrame, texts: list[np.ndarray], rank: int = RANK) -> Space:
 
 
 def evaluation_texts(qa: DataFrame) -> list[dict]:
-    """The distinct questions and source texts with the rows they stand for and those rows' answers."""
-    if qa.count() > MAX_TEXTS:
-        raise ValueError(f"more than {MAX_TEXTS} evaluation rows; they are broadcast to the workers")
+    """The distinct questions and source texts of a block with the rows they stand for and those rows' answers."""
     texts: dict[str, dict] = {}
     for r in qa.select("qa_id", "question", "source_text", "answer").distinct().collect():
         for t in {r["question"], r["source_text"]} - {None}:
@@ -241,48 +293,63 @@ def _holds(words: list[int], part: list[int]) -> bool:
     return bool(n) and any(words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
-def leaks(documents: DataFrame, qa: DataFrame, cosine: float = COSINE) -> DataFrame:
+def leaks(documents: DataFrame, qa: DataFrame, cosine: float = COSINE, at_once: int = TEXTS_AT_ONCE) -> DataFrame:
     """(doc_id, qa_id, words, edits, answer): the longest leaked passage of each pair, and whether the answer stands in the document.
 
     Null and short documents hold nothing; evaluation texts under 16 words cannot
     leak; a null answer is not found. Repeated rows count once. Empty tables give no rows.
     """
     spark = documents.sparkSession
-    schema = "doc_id bigint, qa_id int, words int, edits int, answer boolean"
-    texts = evaluation_texts(qa)
-    if not texts:
-        return spark.createDataFrame([], schema)
     picked = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    tokens = cut(picked.mapInPandas(_hash_docs, "doc_id bigint, words array<bigint>").filter(F.size("words") >= align.MIN_WORDS * 3 // 4))
+    tokens = cut(spread_few(picked).mapInPandas(_hash_docs, "doc_id bigint, words array<bigint>").filter(F.size("words") >= align.MIN_WORDS * 3 // 4))
+    blocks = -(-qa.count() // at_once)
+    found = spark.createDataFrame([], LEAK)
+    for b in range(blocks):
+        texts = evaluation_texts(qa.filter(F.pmod(F.xxhash64("qa_id"), F.lit(blocks)) == b))
+        if texts:
+            found = found.unionByName(_search(tokens, texts, cosine))
+    return found.groupBy("doc_id", "qa_id").agg(F.max(F.struct("words", (-F.col("edits")).alias("e"), "answer")).alias("b")).select(
+        "doc_id", "qa_id", F.col("b.words").alias("words"), (-F.col("b.e")).alias("edits"), F.col("b.answer").alias("answer")
+    )
+
+
+LEAK = "doc_id bigint, qa_id int, words int, edits int, answer boolean"
+
+
+def _search(tokens: DataFrame, texts: list[dict], cosine: float) -> DataFrame:
+    """All leaks of one block of evaluation texts, as ``LEAK``."""
     space = fit(tokens, [t["words"] for t in texts])
     owner, rows = [], []
     for k, t in enumerate(texts):
         z = space.latent(t["words"], TEXT_WINDOW, TEXT_STEP, space.basis)
         rows.append(z)
         owner += [k] * len(z)
-    shared = spark.sparkContext.broadcast((space, texts, np.concatenate(rows), np.array(owner), Runs([t["words"] for t in texts])))
+    shared = tokens.sparkSession.sparkContext.broadcast((space, texts, Centroids(np.concatenate(rows), np.array(owner)), Runs([t["words"] for t in texts])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, texts, queries, owner, runs = shared.value
+        s, texts, centroids, runs = shared.value
         at = [align.places(t["words"].tolist()) for t in texts]
         for pdf in batches:
             out = []
-            for doc_id, words in zip(pdf["doc_id"], pdf["words"]):
-                words = np.asarray(words, np.int64)
-                near = runs.texts(words)
+            docs = [np.asarray(w, np.int64) for w in pdf["words"]]
+            near = [runs.texts(w) for w in docs]
+            held, size = [], 0
+            for d, words in enumerate(docs):
                 for a in range(0, len(words), 20_000):
-                    z = s.latent(words[a : a + 20_000 + DOC_WINDOW], DOC_WINDOW, DOC_STEP, s.basis)
-                    near.update(owner[np.flatnonzero((z @ queries.T >= cosine).any(axis=0))].tolist())
-                if not near:
-                    continue
-                plain = words.tolist()
-                for k in near:
+                    held.append((d, s.latent(words[a : a + 20_000 + DOC_WINDOW], DOC_WINDOW, DOC_STEP, s.basis)))
+                    size += len(held[-1][1])
+                if size > 8_000 or d == len(docs) - 1:
+                    doc = np.repeat([x for x, _ in held], [len(z) for _, z in held])
+                    r, k = centroids.search(np.concatenate([z for _, z in held]), cosine)
+                    for x, y in zip(doc[r].tolist(), k.tolist()):
+                        near[x].add(y)
+                    held, size = [], 0
+            for doc_id, words, ks in zip(pdf["doc_id"], docs, near):
+                plain = words.tolist() if ks else []
+                for k in ks:
                     got = align.longest_passage(at[k], len(texts[k]["words"]), plain)
                     if got:
                         out += [(doc_id, q, got[0], got[1], _holds(plain, a)) for q, a in texts[k]["rows"].items()]
             yield pd.DataFrame(out, columns=["doc_id", "qa_id", "words", "edits", "answer"])
 
-    found = tokens.mapInPandas(search, schema)
-    return found.groupBy("doc_id", "qa_id").agg(F.max(F.struct("words", (-F.col("edits")).alias("e"), "answer")).alias("b")).select(
-        "doc_id", "qa_id", F.col("b.words").alias("words"), (-F.col("b.e")).alias("edits"), F.col("b.answer").alias("answer")
-    )
+    return tokens.mapInPandas(search, LEAK)
