@@ -227,10 +227,8 @@ def strip_markup(text: str) -> tuple[str, list[str]]:
             found.add("markdown")
     t = _LIST.sub(r"\1- ", t)
     if "*" in t or "_" in t or "~~" in t:
-        for _ in range(4):
-            n = _EMPHASIS.sub(emphasis, t)
-            if n == t:
-                break
+        # level by level; every pass takes marks away
+        while (n := _EMPHASIS.sub(emphasis, t)) != t:
             t = n
     return line_blocks(t, kept), sorted(found)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trellis.session import cut, shuffled
 
-PREFIX, POSTED, KEPT, LIST = 12, 6, 96, 4000
+PREFIX, POSTED, KEPT, LIST = 12, 8, 128, 4000
 
 
 def valid_vectors(cache: DataFrame, dim: int = 64) -> DataFrame:
