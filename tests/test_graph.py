@@ -67,14 +67,75 @@ def test_budget_walk(spark):
     assert [r["id"] for r in traverse.budget_walk(n, e, "root", 150, order="dfs").orderBy("rank").collect()] == ["root"]
 
 
-@given(st.dictionaries(st.integers(0, 8), st.lists(st.integers(0, 8), max_size=4), max_size=9), st.integers(1, 60))
-@settings(max_examples=100, deadline=None)
-def test_replay_keeps_the_budget(links, budget):
-    tokens = {i: 7 * i for i in range(9)}
-    for f in (traverse.replay_bfs, traverse.replay_dfs):
-        got = f(tokens, links, 3, budget, 10)
-        assert got[0] == (3, 0) and len({a for a, _ in got}) == len(got)
-        assert sum(tokens[a] for a, _ in got) <= max(budget, tokens[3])
+class Links(traverse.Neighbours):
+    """Links held in memory, in small pages."""
+
+    def __init__(self, links, tokens, page):
+        self.links, self.tokens, self.page, self.known, self.loads = links, tokens, page, {}, 0
+
+    def load(self, ids, room, after=None):
+        self.loads += 1
+        for i in ids:
+            rows = sorted((-w, b) for b, w in self.links.get(i, {}).items() if self.tokens[b] <= room)
+            rows = [(b, self.tokens[b], -w) for w, b in rows if after is None or (w, b) > (-after[0], after[1])]
+            self.known[i] = rows[: self.page]
+
+
+def _bfs(links, tokens, root, budget, max_depth):
+    out, used, queue, seen = [], 0, [(root, 0)], set()
+    while queue:
+        at, depth = queue.pop(0)
+        if at in seen or depth > max_depth or (out and used + tokens[at] > budget):
+            continue
+        seen.add(at)
+        out.append((at, depth))
+        used += tokens[at]
+        if used >= budget:
+            break
+        queue += [(b, depth + 1) for _, b in sorted((-w, b) for b, w in links.get(at, {}).items()) if b not in seen]
+    return out
+
+
+def _dfs(links, tokens, root, budget, max_depth):
+    out, used, seen = [], [0], set()
+
+    def go(at, depth):
+        if at in seen or depth > max_depth or (out and used[0] + tokens[at] > budget):
+            return
+        seen.add(at)
+        out.append((at, depth))
+        used[0] += tokens[at]
+        if used[0] < budget:
+            for _, b in sorted((-w, b) for b, w in links.get(at, {}).items()):
+                go(b, depth + 1)
+
+    go(root, 0)
+    return out
+
+
+NODES = st.integers(0, 9)
+
+
+@given(st.dictionaries(NODES, st.dictionaries(NODES, st.sampled_from([0.5, 1.0]), max_size=6), max_size=10), st.lists(st.integers(0, 30), min_size=10, max_size=10), st.integers(1, 90), st.integers(0, 4), st.integers(1, 4))
+@settings(max_examples=300, deadline=None)
+def test_walks_by_pages_equal_whole_walks(links, tokens, budget, max_depth, page):
+    for walk, whole in ((traverse.walk_bfs, _bfs), (traverse.walk_dfs, _dfs)):
+        assert walk(Links(links, tokens, page), 3, tokens[3], budget, max_depth) == whole(links, tokens, 3, budget, max_depth)
+
+
+def test_walk_from_a_hub(spark):
+    n = nodes(spark, *[(f"n{i:03d}", 5 + i % 3 * 50, None) for i in range(300)], ("hub", 1, None), ("deep", 3, None))
+    e = edges(spark, *[("hub", f"n{i:03d}", "x", "EXTRACTED", 1.0, 1.0 + i % 7) for i in range(300)], ("n297", "deep", "x", "EXTRACTED", 1.0, 9.0))
+    links = traverse.Neighbours(n, e, page=20)
+    got = traverse.walk_bfs(links, "hub", 1, 400, 3)
+    links.known = {}
+    deep = traverse.walk_dfs(links, "hub", 1, 400, 3)
+    tokens = {f"n{i:03d}": 5 + i % 3 * 50 for i in range(300)} | {"hub": 1, "deep": 3}
+    table: dict = {}
+    for r in e.collect():
+        for a, b in ((r["src"], r["dst"]), (r["dst"], r["src"])):
+            table.setdefault(a, {})[b] = r["weight"]
+    assert got == _bfs(table, tokens, "hub", 400, 3) and deep == _dfs(table, tokens, "hub", 400, 3)
 
 
 def test_pagerank_sums_to_one(spark):

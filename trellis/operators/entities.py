@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import vec
@@ -50,6 +50,15 @@ def walk_retrieve(links: DataFrame, entities: list[str], atoms: DataFrame | None
     return out.orderBy(F.desc(F.round("score", 12)), "id").limit(top_k) if top_k else spark.createDataFrame([], out.schema)
 
 
+def walk_many(links: DataFrame, seeds: DataFrame, top_k: int = 25, damping: float = 0.3, rounds: int = 4) -> DataFrame:
+    """For many queries at once, each with its seeds (grp, id, mass): the top_k atoms (grp, id, score, rank), ties by id."""
+    got = rank.personal_ranks(cut(links), seeds, 1 - damping, rounds).filter(F.col("id").startswith("atom:"))
+    # a little more, so that a value on the edge of the twelfth place does not hang on the order of sums
+    w = Window.partitionBy("grp").orderBy(F.desc(F.round(F.col("rank") + 1e-14, 12)), "id")
+    ranked = got.select("grp", F.expr("substring(id, 6)").alias("id"), "rank").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top_k)
+    return ranked.select("grp", "id", F.col("rank").alias("score"), F.col("k").alias("rank"))
+
+
 def to_groups(hits: DataFrame, members: DataFrame, top_k: int = 5) -> DataFrame:
     """Groups (members: id, parent) of ranked atoms (id, rank), in the order of their best atom."""
     best = hits.join(members, "id").groupBy(F.col("parent").alias("id")).agg(F.min("rank").alias("best"))

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text, vec
+from trellis.operators.records import numbered
 
 
 def windows(atoms: DataFrame, source: str, order: list[str], id_col: str, body: str, size: int = 3) -> DataFrame:
     """Runs of ``size`` consecutive atoms of a source: (source, grp, members, text)."""
-    w = Window.partitionBy(source).orderBy(*order)
-    g = atoms.withColumn("n", F.row_number().over(w)).withColumn("grp", F.floor((F.col("n") - 1) / size).cast("int"))
+    g = numbered(atoms.select(*dict.fromkeys([source, *order, id_col, body])), [source], order).withColumn("grp", F.floor((F.col("n") - 1) / size).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("n", F.col(body).alias("t"))))
     return g.groupBy(F.col(source).alias("source"), "grp").agg(F.count("*").alias("members"), parts.alias("p")).select("source", "grp", "members", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
 

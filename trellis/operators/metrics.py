@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text, vec
+from trellis.operators.records import numbered
+from trellis.session import cut
 
 
 def atomicity(atom: Column) -> Column:
@@ -75,8 +77,10 @@ def retrieval_scores(hits: DataFrame, top_k: int, relevant: float = 0.3, answer:
 
 def boundary_clarity(vectors: DataFrame, by: str, order: str, column: str = "vec") -> DataFrame:
     """1 less the mean cosine of neighbours in order; 1 for fewer than two vectors."""
-    w = Window.partitionBy(by).orderBy(order)
-    pairs = vectors.withColumn("before", F.lag(column).over(w)).withColumn("c", F.when(F.col("before").isNotNull(), vec.cosine(F.col("before"), F.col(column))))
+    # neighbours meet by an equality join on their numbers, so a large group is not one task
+    n = cut(numbered(vectors.select(by, order, column), [by], [order], "_n"))
+    before = n.select(F.col(by).alias("_by"), (F.col("_n") + 1).alias("_m"), F.col(column).alias("before"))
+    pairs = n.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_n") == F.col("_m")), "left").withColumn("c", F.when(F.col("before").isNotNull(), vec.cosine(F.col("before"), F.col(column)))).drop("_n")
     return pairs.groupBy(by).agg(F.count("*").alias("n"), F.round(1.0 - F.coalesce(F.avg("c"), F.lit(0.0)), 6).alias("clarity"))
 
 

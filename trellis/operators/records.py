@@ -78,19 +78,30 @@ def without_source(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return own.join(files.select(F.col("path").alias("source_file")), "source_file", "left_anti")
 
 
-def allocate_ids(rows: DataFrame, key: str, first: int, prefix: str = "KNOW", width: int = 6) -> DataFrame:
-    """(key, know_id): consecutive ids in the order of the key, without sorting everything in one task.
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """``rows`` with their number from 1 within ``by`` in the order given, without putting a whole group in order in one task.
 
-    Range partitions are numbered on their own; the number of rows before each, one per
-    partition, comes to the driver and is added.
+    Rows are spread by ranges of (by, order) and numbered within their range; how many rows of a group
+    lie in the ranges before, one number per range and group, is added. A group of a third of all
+    rows lies in as many ranges as its size asks for; rows that tie in the whole order keep together.
     """
-    one = rows.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    w = Window.partitionBy("part").orderBy(key)
+    keys = [*by, *order]
     # written once, so that both uses below see the same ranges
-    numbered = cut(one.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(w)))
-    sizes = numbered.groupBy("part").agg(F.max("n").alias("size"), F.min(key).alias("low"))
-    offset = sizes.withColumn("offset", F.sum("size").over(Window.orderBy("low")) - F.col("size")).select("part", "offset")
-    return numbered.join(F.broadcast(offset), "part").select(key, F.format_string(f"{prefix}-%0{width}d", F.col("offset") + F.col("n") - 1 + first).alias("know_id"))
+    ranged = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    sizes = ranged.groupBy("_part", *by).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_size")) if by else sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size"))
+    renamed = before.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_before")
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(renamed, on).select(*rows.columns, (F.col("_n") + F.col("_before")).cast("long").alias(name))
+
+
+def allocate_ids(rows: DataFrame, key: str, first: int, prefix: str = "KNOW", width: int = 6) -> DataFrame:
+    """(key, know_id): consecutive ids in the order of the key, null keys left out."""
+    one = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    return numbered(one, [], [key]).select(key, F.format_string(f"{prefix}-%0{width}d", F.col("n") - 1 + first).alias("know_id"))
 
 
 def recent_decisions(log: DataFrame, n: int = 10) -> DataFrame:

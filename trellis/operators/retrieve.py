@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text, vec
 from trellis.operators.graph import both_ways, passes
+from trellis.session import cut
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -58,17 +63,55 @@ def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[
     return vectors.select(F.col(id_col).alias("id"), vec.cosine(F.col(vector_col), q).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(top_k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, top_k: int = 5, least: float = -1.0) -> DataFrame:
-    """For a stated set of query rows the top-k of all rows: (id, other, score, rank).
+def knn(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, top_k: int = 5, least: float = -1.0, block: int = 4096) -> DataFrame:
+    """For a stated set of query rows the top-k of all rows by cosine: (id, other, score, rank), ties by id.
 
-    Queries stream past blocks of the other side as a broadcast join if they are small
-    enough for Spark's threshold; a window group limit keeps k rows per query and task.
+    Queries go in blocks of at most about ``block``, each of which is broadcast; the vectors are read where they
+    lie, once a block, and a batch of them passes on only those that are among the best k it has
+    seen for a query. A vector of zeros is similar to none; nulls and other lengths than the block's are left out.
     """
-    q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("qv"))
-    o = vectors.select(F.col(id_col).alias("other"), F.col(vector_col).alias("ov"))
-    pairs = o.join(q, F.col("id") != F.col("other")).select("id", "other", vec.cosine(F.col("qv"), F.col("ov")).alias("score")).filter(F.col("score") >= least)
+    spark = vectors.sparkSession
+    q = cut(queries.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("qv")))
+    kind = q.schema["id"].dataType.simpleString()
+    rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("other"), F.col(vector_col).alias("ov"))
+    n = max(1, -(-q.count() // block))
+    found = spark.createDataFrame([], f"id {kind}, other {kind}, score double")
+    for b in range(n):
+        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b).orderBy("id").collect()
+        if part:
+            x = np.array([r["qv"] for r in part], np.float64)
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            ids = np.array([r["id"] for r in part], object)
+            found = found.unionByName(rows.mapInPandas(_best(spark.sparkContext.broadcast((ids, unit)), top_k, least), found.schema))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+
+
+def _best(shared, top_k: int, least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, unit = shared.value
+        bar = np.full(len(ids), -2.0)
+        for pdf in batches:
+            keep = [len(v) == unit.shape[1] for v in pdf["ov"]]
+            other = pdf["other"].to_numpy()[keep]
+            if not len(other):
+                continue
+            y = np.stack(pdf["ov"].to_numpy()[keep]).astype(np.float64)
+            size = np.linalg.norm(y, axis=1)
+            other, y = other[size > 0], y[size > 0] / size[size > 0, None]
+            out = []
+            for at in range(0, len(ids), 512):
+                cos = unit[at : at + 512] @ y.T
+                # rounded as they are ranked, so that ties with the k-th are passed on
+                near = np.where(ids[at : at + 512, None] == other[None, :], -2.0, np.round(cos, 9))
+                if near.shape[1] > top_k:
+                    kth = np.partition(near, -top_k, axis=1)[:, -top_k]
+                    bar[at : at + 512] = np.maximum(bar[at : at + 512], kth)
+                p, r = np.nonzero((near >= bar[at : at + 512, None]) & (near > -2.0) & (cos >= least))
+                out.append(pd.DataFrame({"id": ids[at + p], "other": other[r], "score": cos[p, r]}))
+            yield pd.concat(out)
+
+    return run
 
 
 def exact(docs: DataFrame, id_col: str, label_col: str, query: str, limit: int | None = None) -> DataFrame:

@@ -6,15 +6,16 @@ executor costs one level at most.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis import schema
 from trellis.operators.graph import both_ways, passes
-from trellis.session import cut
+from trellis.session import cut, scratch_table
 
 
 def _decay() -> Column:
@@ -77,74 +78,109 @@ def path_to(dist: DataFrame, root: str, target: str) -> list[str] | None:
     return path[::-1]
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int, min_score: float, tiers: tuple[str, ...] | None) -> tuple[dict, dict]:
-    """Tokens and ordered neighbours of everything within ``max_depth`` hops, found level by level.
+class Neighbours:
+    """The neighbours of single nodes, fetched when a walk needs them: (id, tokens), the heaviest link first, ties by id.
 
-    The caller bounds it: a traversal with a token budget stops after a few levels,
-    so levels are added until the budget is covered.
+    The links of both directions lie in a table that is partitioned by the hash of the node they start
+    from, so a look-up reads the partitions of the nodes it asks for. A look-up gives at most ``page``
+    neighbours a node, and only those that fit into what is left of the budget, so neither a hub nor
+    its dear neighbours come to the driver whole; the next page is fetched when the first is used up.
     """
-    spark = nodes.sparkSession
-    e = edges.filter(passes(min_score, tiers))
-    steps = both_ways(e.withColumn("back", F.lit(0)), "weight", "write_seq").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    dist = distances(e, spark.createDataFrame([(root,)], "root string"), max_depth, 0.0)
-    ids = dist.select("id")
-    near = steps.join(ids.withColumnRenamed("id", "a"), "a").join(ids.withColumnRenamed("id", "b"), "b").distinct()
-    tokens = {r["id"]: r["tokens"] or 0 for r in nodes.join(ids, "id").select("id", "tokens").collect()}
-    links: dict[str, list] = {}
-    for r in near.select("a", "b", "weight").groupBy("a", "b").agg(F.max("weight").alias("w")).collect():
-        links.setdefault(r["a"], []).append((-r["w"], r["b"]))
-    return tokens, {a: [b for _, b in sorted(v)] for a, v in links.items()}
-
-
-def replay_bfs(tokens: dict, links: dict, root: str, budget: int, max_depth: int) -> list[tuple[str, int]]:
+
+    PARTS, AHEAD = 16, 32
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, page: int = 500):
+        self.page, self.known = page, {}
+        both = both_ways(edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("w")), "w").groupBy("a", "b").agg(F.max("w").alias("w"))
+        tokens = nodes.select(F.col("id").alias("b"), F.coalesce("tokens", F.lit(0)).cast("long").alias("t"))
+        table = both.join(tokens, "b", "left").select("a", "b", "w", F.coalesce("t", F.lit(0)).alias("t"), F.pmod(F.xxhash64("a"), F.lit(self.PARTS)).cast("int").alias("p"))
+        # rebalanced, not repartitioned: the partition of a hub may be cut
+        self.table = scratch_table(table.hint("rebalance", "p"), "links", "p")
+
+    def load(self, ids: list[str], room: int, after: tuple[float, str] | None = None) -> None:
+        # folded to constants, so that only these partitions are read
+        parts = reduce(or_, [F.col("p") == F.pmod(F.xxhash64(F.lit(i)), F.lit(self.PARTS)).cast("int") for i in ids])
+        hit = self.table.filter(parts & F.col("a").isin(ids) & (F.col("t") <= room))
+        if after is not None:
+            hit = hit.filter((F.col("w") < after[0]) | ((F.col("w") == after[0]) & (F.col("b") > after[1])))
+        k = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
+        pages: dict[str, list] = {i: [] for i in ids}
+        for r in hit.withColumn("k", k).filter(F.col("k") <= self.page).orderBy("a", "k").collect():
+            pages[r["a"]].append((r["b"], r["t"], r["w"]))
+        self.known |= pages
+
+    def of(self, at: str, room: Callable[[], int], ahead: Callable[[], list[str]]) -> Iterator[tuple[str, int]]:
+        """The neighbours of a node; those of the nodes that will be asked for next are fetched along with it."""
+        if at not in self.known:
+            self.load([at, *[i for i in dict.fromkeys(ahead()) if i not in self.known and i != at][: self.AHEAD - 1]], room())
+        while True:
+            got = self.known[at]
+            yield from ((b, t) for b, t, _ in got)
+            if len(got) < self.page:
+                return
+            self.load([at], room(), (got[-1][2], got[-1][0]))
+
+
+def walk_bfs(links: Neighbours, root: str, cost: int, budget: int, max_depth: int) -> list[tuple[str, int]]:
     """Breadth first under a token budget: what would break it is skipped and not expanded; the root always counts."""
-    out: list[tuple[str, int]] = []
-    used, queue, seen = 0, deque([(root, 0)]), set()
-    while queue:
-        at, depth = queue.popleft()
-        cost = tokens.get(at, 0)
-        if at in seen or depth > max_depth or (out and used + cost > budget):
-            continue
-        seen.add(at)
-        out.append((at, depth))
-        used += cost
-        if used >= budget:
+    out, seen, used, level = [(root, 0)], {root}, cost, [root]
+    for depth in range(1, max_depth + 1):
+        if used >= budget or not level:
             break
-        queue.extend((b, depth + 1) for b in links.get(at, ()) if b not in seen)
+        nxt: list[str] = []
+        for i, at in enumerate(level):
+            for b, t in links.of(at, lambda: budget - used, lambda: level[i + 1 : i + Neighbours.AHEAD]):  # noqa: B023
+                if b in seen or used + t > budget:
+                    continue
+                seen.add(b)
+                out.append((b, depth))
+                nxt.append(b)
+                used += t
+                if used >= budget:
+                    return out
+        level = nxt
     return out
 
 
-def replay_dfs(tokens: dict, links: dict, root: str, budget: int, max_depth: int) -> list[tuple[str, int]]:
-    """Depth first in pre-order under the same tests, with a stack instead of recursion."""
-    out: list[tuple[str, int]] = []
-    used, stack, seen = 0, [(root, 0)], set()
+def walk_dfs(links: Neighbours, root: str, cost: int, budget: int, max_depth: int) -> list[tuple[str, int]]:
+    """Depth first in pre-order under the same tests; the way back is a stack of neighbours not yet looked at."""
+    out, seen, used = [(root, 0)], {root}, cost
+
+    def enter(at: str) -> Iterator[tuple[str, int]]:
+        # next after this node come its own siblings
+        return links.of(at, lambda: budget - used, lambda: [b for b, _, _ in links.known.get(trail[-1], [])[: 4 * Neighbours.AHEAD] if b not in seen] if trail else [])
+
+    trail: list[str] = []
+    stack = [enter(root)] if used < budget and max_depth > 0 else []
+    trail += [root] * len(stack)
     while stack:
-        at, depth = stack.pop()
-        cost = tokens.get(at, 0)
-        if at in seen or depth > max_depth or (out and used + cost > budget):
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            trail.pop()
             continue
-        seen.add(at)
-        out.append((at, depth))
-        used += cost
-        if used < budget:
-            stack.extend((b, depth + 1) for b in reversed(links.get(at, [])))
+        b, t = step
+        if b in seen or used + t > budget:
+            continue
+        seen.add(b)
+        out.append((b, len(stack)))
+        used += t
+        if used < budget and len(stack) < max_depth:
+            stack.append(enter(b))
+            trail.append(b)
     return out
 
 
 def budget_walk(nodes: DataFrame, edges: DataFrame, root: str, budget: int = 4000, max_depth: int = 10, min_score: float = 0.0, tiers: tuple[str, ...] | None = schema.TRUSTED, order: str = "bfs") -> DataFrame:
     """Traversal under a token budget: (rank, id, depth), in the order of acceptance.
 
-    Stage one collects levels around the root until their tokens exceed the budget
-    by far or the depth is reached, so what comes to the driver is bounded by the
-    budget and the nodes without tokens next to it; stage two replays the order.
+    The order depends on every acceptance before it, so the walk itself runs on the driver; links are
+    looked up when it needs them. What comes to the driver is bounded by the accepted nodes (and nodes
+    without tokens fit into every budget) and a page of neighbours of each. A root that is no node
+    costs nothing.
     """
-    replay: Callable = replay_bfs if order == "bfs" else replay_dfs
-    depth, before = 1, None
-    while True:
-        tokens, links = neighbourhood(nodes, edges, root, depth, min_score, tiers)
-        got = replay(tokens, links, root, budget, max_depth)
-        if depth >= max_depth or got == before or sum(tokens.values()) > 20 * budget:
-            break
-        before, depth = got, depth + 1
+    links = Neighbours(nodes, edges.filter(passes(min_score, tiers)))
+    own = nodes.filter(F.col("id") == root).select(F.coalesce("tokens", F.lit(0))).head()
+    got = (walk_bfs if order == "bfs" else walk_dfs)(links, root, own[0] if own else 0, budget, max_depth)
     rows = [(i + 1, a, d) for i, (a, d) in enumerate(got)]
     return nodes.sparkSession.createDataFrame(rows, "rank int, id string, depth int")

@@ -225,11 +225,11 @@ def query_entities(spark, d):
 
 
 def walk_retrieval(spark, d):
-    """Chunks by walks from the names in the first question."""
-    q = table(spark, d, "qa").filter("question IS NOT NULL").select("qa_id", entities.names_in(F.col("question")).alias("e")).orderBy("qa_id").limit(1).collect()
-    atoms = _chunks(spark, d).select(F.col("chunk_id").alias("id"), entities.names_in(F.col("text")).alias("entities"))
-    names = atoms.select(F.explode("entities").alias("e")).filter(F.length("e") > 6).groupBy("e").count().orderBy(F.desc("count"), "e").limit(2).collect()
-    return entities.walk_retrieve(entities.atom_entity_graph(atoms), [*(q[0]["e"] if q else []), *[r["e"] for r in names]], rounds=8)
+    """For every question the ten documents of highest rank by walks from the names in it."""
+    q = table(spark, d, "qa").filter("question IS NOT NULL").select("qa_id", "question").distinct()
+    seeds = q.select(F.col("qa_id").alias("grp"), F.explode(entities.names_in(F.col("question"))).alias("e")).select("grp", F.concat(F.lit("entity:"), "e").alias("id"), F.lit(1.0).alias("mass"))
+    atoms = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), entities.names_in(F.col("text")).alias("entities"))
+    return entities.walk_many(entities.atom_entity_graph(atoms), seeds, 10).select(F.col("grp").alias("qa_id"), "id", F.round(F.col("score") + 1e-12, 9).alias("score"), "rank")
 
 
 def boundary_clarity(spark, d):
@@ -334,6 +334,19 @@ _ENTRY = f"""en AS (SELECT id, namespace, label, CASE WHEN lower(label) = '{ENTR
   WHEN contains(lower(label), '{ENTRY}') THEN 4 WHEN lower(id) = 'tag:{ENTRY}' THEN 5 END AS priority FROM vn)"""
 _SIZE = "CASE WHEN priority = 4 THEN length(label) ELSE 0 END"
 
+def _walks(rounds: int) -> str:
+    names = r"list_distinct(list_transform(regexp_extract_all({x}, '\p{{Lu}}[\p{{L}}\p{{N}}]+(?:[ ]\p{{Lu}}[\p{{L}}\p{{N}}]+)*'), lambda x: lower(x)))"
+    parts = [
+        f"o AS (SELECT DISTINCT 'atom:' || CAST(doc_id AS VARCHAR) AS a, 'entity:' || e AS b FROM (SELECT doc_id, unnest({names.format(x='text')}) AS e FROM documents WHERE text IS NOT NULL))",
+        "bo AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o), tot AS (SELECT a, count(*) AS t FROM bo GROUP BY a), st AS (SELECT bo.a, b, 1.0::DOUBLE / t AS p FROM bo JOIN tot ON bo.a = tot.a)",
+        f"sd AS (SELECT DISTINCT qa_id, 'entity:' || e AS id FROM (SELECT qa_id, unnest({names.format(x='question')}) AS e FROM qa WHERE question IS NOT NULL) WHERE 'entity:' || e IN (SELECT a FROM tot))",
+        "r0 AS (SELECT qa_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY qa_id) AS r FROM sd), ho AS (SELECT * FROM r0)",
+    ]
+    for i in range(1, rounds + 1):
+        parts.append(f"r{i} AS (SELECT qa_id, id, sum(r) AS r FROM (SELECT qa_id, b AS id, r * p * 0.7 AS r FROM r{i - 1} JOIN st ON id = a UNION ALL SELECT qa_id, id, 0.3 * r FROM ho) GROUP BY ALL)")
+    return f"WITH {', '.join(parts)} SELECT qa_id, substr(id, 6) AS id, round(r + 1e-12, 9) AS score, CAST(row_number() OVER (PARTITION BY qa_id ORDER BY round(r + 1e-14, 12) DESC, id) AS INTEGER) AS rank FROM r{rounds} WHERE starts_with(id, 'atom:') QUALIFY rank <= 10"
+
+
 SQL = {
     "bm25_search": f"WITH {CHUNK}, bd AS (SELECT chunk_id AS id, text AS body FROM ch), {_BM25} SELECT id, round(score, 6) AS score FROM bm",
     "vector_search": f"WITH {VV}, q AS (SELECT vec AS v FROM vv ORDER BY id LIMIT 1), s AS (SELECT id, list_cosine_similarity(vec, v) AS c FROM vv, q) SELECT id, round(c, 6) AS score FROM s ORDER BY round(c, 9) DESC, id LIMIT 20",
@@ -425,6 +438,7 @@ SELECT * FROM p WHERE problem IS NOT NULL""",
 SELECT qa_id, unnest(list_distinct(list_transform(regexp_extract_all(question, '\p{Lu}[\p{L}\p{N}]+(?:[ ]\p{Lu}[\p{L}\p{N}]+)*'), lambda x: lower(x)))) AS entity FROM q""",
     "l1_windows": f"""WITH {CHUNK}, r AS (SELECT *, (row_number() OVER (PARTITION BY source_idx ORDER BY idx, chunk_id) - 1) // 3 AS g FROM ch)
 SELECT source_idx AS source, CAST(g AS INTEGER) AS grp, count(*) AS members, string_agg(text, ' ' ORDER BY idx, chunk_id) AS text FROM r GROUP BY source_idx, g""",
+    "walk_retrieval": _walks(4),
     "boundary_clarity": f"""WITH {VN}, {VV}, j AS (SELECT vn.namespace, vv.id, vec, lag(vec) OVER (PARTITION BY vn.namespace ORDER BY vv.id) AS b FROM vv JOIN vn ON vv.id = vn.id)
 SELECT namespace, count(*) AS n, round(1 - coalesce(avg(CASE WHEN b IS NOT NULL THEN list_cosine_similarity(b, vec) END), 0), 6) AS clarity FROM j GROUP BY namespace""",
     "char_budget": f"""WITH {VN}, r AS (SELECT community_id, id, length(content) AS n, sum(length(content)) OVER (PARTITION BY community_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM vn WHERE community_id IS NOT NULL AND content IS NOT NULL)

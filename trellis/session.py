@@ -87,15 +87,17 @@ def spread_few(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
+def scratch_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, in folders by the column ``by``, and read it back.
 
     Columnar files keep column pruning and push-down for several readers.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    writer = df.write.mode("errorifexists")
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def create_once(spark: SparkSession, tmp, at) -> bool:
