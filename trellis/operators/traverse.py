@@ -27,14 +27,15 @@ def _decay() -> Column:
 
 def impact(
     edges: DataFrame, start: DataFrame, direction: str = "upstream", max_depth: int = 3, min_score: float = 0.7,
-    tiers: tuple[str, ...] | None = schema.TRUSTED, kinds: tuple[str, ...] | None = None, how: str = "weakest",
+    tiers: tuple[str, ...] | None = schema.TRUSTED, kinds: tuple[str, ...] | None = None, how: str | Column = "weakest",
 ) -> DataFrame:
     """What a change reaches: (root, id, depth, path_score) of the least depth, the start left out.
 
     ``start`` has a column ``root``. ``upstream`` follows edges backwards,
     ``downstream`` forwards, ``both`` either way. ``weakest`` scores a path by its
     weakest edge, ``decay`` by the product of its tiers' decays; of several paths
-    of the least depth the best counts.
+    of the least depth the best counts. Any other score is a column over ``path_score``, that of the path
+    so far (1 at the start), and the edge's ``score`` and ``tier``.
     """
     e = edges.filter(passes(min_score, tiers))
     if kinds is not None:
@@ -45,7 +46,7 @@ def impact(
     steps = {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
     seen = start.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(1.0).alias("path_score")).distinct()
     front = seen
-    score = F.least("path_score", "score") if how == "weakest" else F.col("path_score") * _decay()
+    score = how if isinstance(how, Column) else F.least("path_score", "score") if how == "weakest" else F.col("path_score") * _decay()
     for depth in range(1, max_depth + 1):
         reached = front.join(steps, "id").select("root", F.col("next").alias("id"), score.alias("path_score")).groupBy("root", "id").agg(F.max("path_score").alias("path_score"))
         front = cut(reached.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"), "path_score"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis import schema
+from trellis.session import create_once
 
 VERSION = "v4.0"
 
@@ -59,8 +60,7 @@ def save_graph(nodes: DataFrame, edges: DataFrame, root: str) -> int:
     out.write(bytearray(json.dumps(meta).encode()))
     out.close()
     fs.mkdirs(path(f"{root}/versions"))
-    goal = path(f"{root}/versions/{version:08d}.json")
-    if fs.exists(goal) or not fs.rename(tmp, goal):
+    if not create_once(spark, tmp, path(f"{root}/versions/{version:08d}.json")):
         raise RuntimeError(f"version {version} was written by another process")
     return version
 
@@ -108,3 +108,61 @@ def propositions(rows: DataFrame) -> DataFrame:
     """(title, section, content, targets) from sources of the form ``Title: .. Section: .. Content: ..`` and JSON lists."""
     p = r"(?s)^Title:\s*(.*?)\.\s*Section:\s*(.*?)\.\s*Content:\s*(.*)$"
     return rows.select(*[F.regexp_extract("source", p, i + 1).alias(n) for i, n in enumerate(("title", "section", "content"))], F.from_json("targets", "array<string>").alias("targets"))
+
+
+def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as folders of JSON lines under the names that ``read_graph`` knows them by."""
+    nodes.write.json(f"{path}/nodes")
+    named = {"src": "source", "dst": "target", "tier": "confidence", "score": "confidence_score"}
+    edges.select(*[F.col(c).alias(named.get(c, c)) for c in edges.columns]).write.json(f"{path}/edges")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Community reports (community_id, title, summary, rating, findings) of a JSON list; none if there is no such file."""
+    kind = "community_id string, title string, summary string, rating double, findings array<string>"
+    _, fs, hadoop = _fs(spark, path)
+    if not fs.exists(hadoop(path)):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).option("multiLine", True).json(path).filter(F.col("community_id").isNotNull())
+
+
+class VersionedTable:
+    """A small state table (observed edges, the inbox) that is rewritten whole and read in its last version.
+
+    A version's rows are written first and named last, by a file that is made once, so readers see
+    the old rows or the new ones; ``compact`` drops the rows of versions before the last ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, of: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), of
+
+    def read(self) -> DataFrame:
+        v = current_version(self.spark, self.root)
+        if v is None:
+            return self.spark.createDataFrame([], self.schema)
+        at = json.loads(self.spark.read.text(f"{self.root}/versions/{v:08d}.json").head()[0])["path"]
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def write(self, rows: DataFrame) -> int:
+        version = (current_version(self.spark, self.root) or 0) + 1
+        at = f"{self.root}/data/{version:08d}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(at)
+        _, fs, path = _fs(self.spark, self.root)
+        tmp = path(f"{self.root}/tmp-{uuid.uuid4().hex}")
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps({"path": at}).encode()))
+        out.close()
+        fs.mkdirs(path(f"{self.root}/versions"))
+        if not create_once(self.spark, tmp, path(f"{self.root}/versions/{version:08d}.json")):
+            raise RuntimeError(f"version {version} was written by another process")
+        return version
+
+    def compact(self, keep: int = 1) -> int:
+        """Delete the rows of all but the last ``keep`` versions; their names stay. Returns how many folders went."""
+        v = current_version(self.spark, self.root) or 0
+        _, fs, path = _fs(self.spark, self.root)
+        at = path(f"{self.root}/data")
+        gone = [s.getPath() for s in (fs.listStatus(at) if fs.exists(at) else []) if int(s.getPath().getName().split("-")[0]) <= v - keep]
+        for p in gone:
+            fs.delete(p, True)
+        return len(gone)
