@@ -51,8 +51,9 @@ def test_clashing_columns_and_nulls(spark):
     recs = wide(spark.createDataFrame([("t", 1, text), ("t", 2, text + " x"), (None, None, None), ("t", None, text), ("t", 3, None)], "rec_table string, id bigint, text string"))
     assert [tuple(r) for r in fuzzy.alike_pairs(recs).collect()] == [("t", 1, 2)]
     chunks = wide(spark.createDataFrame([(0, 1, text), (1, 2, text + " x"), (None, None, None), (1, None, text)], "batch_no int, chunk_id bigint, text string"))
-    kept, tables = history.history_of(chunks.filter("batch_no = 0"))
-    assert [tuple(r) for r in history.dedup_batches(kept, tables, chunks.filter("batch_no > 0"))[0].collect()] == [(1, 2)]
+    store = history.new_store(spark)
+    history.begin(store, chunks.filter("batch_no = 0"))
+    assert [tuple(r) for r in history.dedup_batches(store, chunks.filter("batch_no > 0")).collect()] == [(1, 2)]
     docs = wide(spark.createDataFrame([(1, "Please enable JavaScript to view this page."), (None, None), (2, None), (3, LONG["one word"])], "doc_id bigint, text string"))
     assert [r["doc_id"] for r in residue.residue(docs).collect()] == [1]
     qa = wide(spark.createDataFrame([(None, None, None, None), (1, "q", None, text)], "qa_id int, question string, answer string, source_text string"))

@@ -276,6 +276,18 @@ def fit(tokens: DataFrame, texts: list[np.ndarray], rank: int = RANK) -> Space:
     return space
 
 
+#: Of a passage some block of m >= 16 words has at most m / 8 edits, so at least m - m // 8 of its words lie in at most m + m // 8
+#: words of the document; in some NEAR consecutive ones of these there are at least HITS words of the text.
+NEAR, HITS = 18, 14
+
+
+def may_hold(vocabulary: np.ndarray, words: np.ndarray) -> bool:
+    """Whether a document has enough words of a text close together; no case is without them."""
+    sums = np.concatenate([[0], np.cumsum(_column(vocabulary, words) >= 0)])
+    n = min(NEAR, len(words))
+    return bool((sums[n:] - sums[:-n]).max() >= HITS) if n else False
+
+
 def evaluation_texts(qa: DataFrame) -> list[dict]:
     """The distinct questions and source texts of a block with the rows they stand for and those rows' answers."""
     texts: dict[str, dict] = {}
@@ -329,6 +341,7 @@ def _search(tokens: DataFrame, texts: list[dict], cosine: float) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, texts, centroids, runs = shared.value
         at = [align.places(t["words"].tolist()) for t in texts]
+        own = [np.unique(t["words"]) for t in texts]
         for pdf in batches:
             out = []
             docs = [np.asarray(w, np.int64) for w in pdf["words"]]
@@ -345,6 +358,7 @@ def _search(tokens: DataFrame, texts: list[dict], cosine: float) -> DataFrame:
                         near[x].add(y)
                     held, size = [], 0
             for doc_id, words, ks in zip(pdf["doc_id"], docs, near):
+                ks = [k for k in ks if may_hold(own[k], words)]
                 plain = words.tolist() if ks else []
                 for k in ks:
                     got = align.longest_passage(at[k], len(texts[k]["words"]), plain)
